@@ -67,3 +67,25 @@ def words_of(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def one_blas_thread() -> None:
+    """Keep numpy's linear algebra on this thread.
+
+    The driver forks (to start the JVM) after numpy has loaded; thread pools of
+    OpenBLAS can hang after that.  On executors one thread is a task's share.
+    """
+    import ctypes
+    import re
+
+    try:
+        with open("/proc/self/maps") as maps:
+            paths = set(re.findall(r"(/\S*openblas\S*\.so\S*)", maps.read()))
+    except OSError:
+        return
+    for path in paths:
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                break

@@ -2,20 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import classifier, linededup, mixing, packing, qualityrules, simhash, topk, toxicity
 from .common import table
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mixed(table(spark, sf_dir, "documents"), mixing.Mix(max_repeats=1.5), keys=True)
+    return taken.select("doc_id", "source", "epoch", "block", "block_key", "row_key", "tokens")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", linededup.page_host(F.col("url")).alias("host"), linededup.page_lines(F.col("html")).alias("text"))
+    return linededup.drop_boilerplate(pages, dropped_col="n_dropped")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {
-    "op4_simhash_near_dedup": op4_simhash_near_dedup,
-}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qualityrules.rules(table(spark, sf_dir, "documents"))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = classifier.held_out(F.col("doc_id"))
+    model = toxicity.train(toxicity.sample(docs, labels.where(~held), "toxic"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_line_dedup, op3_packing, op4_simhash_near_dedup, op5_quality_rules, op6_exact_topk, op8_quality_classifier, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
