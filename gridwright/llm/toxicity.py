@@ -29,6 +29,11 @@ GAPS = (1, 2, 3)
 DECAY = 0.5
 LONGEST = 24  # a longer word is read in overlapping windows of this many letters
 CACHE = 400_000
+#: Likelihood ratio from which a word tells toxic sentences from clean ones.
+TELLING = 16.0
+#: And how many times as often, by sentences, toxic ones must have it.
+ODDS = 6.0
+RIDGE = 1e-4
 
 _NOISE = re.compile(r"[^\w\s]|[\d_]")
 _SPELLED = re.compile(r"(?<!\S)\w(?:[^\S\n]\w){3,}(?!\S)")
@@ -170,45 +175,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", most_words: int = 12_000, landmarks: int = 300) -> Model | None:
-    """Fit on ``labelled`` (text, 0/1); None where one of the classes is missing.
-
-    Reaching the driver: at most ``most_words`` words with counts and five
-    numbers a labelled row; bound the rows before (see ``sample``).
-    """
-    one_blas_thread()
-    spark = labelled.sparkSession
-
-    def sentence_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w, y = [], []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen: dict[str, None] = {}
-                for sentence in _SENTENCE.split(text or ""):
-                    seen.update(dict.fromkeys(words(sentence)))
-                w += seen
-                y += [label] * len(seen)
-            yield pa.record_batch([pa.array(w, pa.string()), pa.array(y, pa.int32())], names=["word", "label"])
-
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    total = rows.agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).first()
-    toxic = total["toxic"] or 0
-    clean = total["n"] - toxic
-    if not toxic or not clean:
-        return None
-    df = rows.mapInArrow(sentence_words, "word string, label int").groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-    odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    df = stash(df.withColumn("odds", odds), "toxic-words")
-    witness = df.where("t >= 3 and odds >= 2.0").orderBy(F.desc(F.col("odds") * F.sqrt("t")), "word").limit(most_words // 4).collect()
-    if not witness:
-        witness = df.where("t >= 1 and odds > 0").orderBy(F.desc("odds"), "word").limit(50).collect()
-    usual = df.where("c >= 1 and odds < 1.0").orderBy(F.desc("c"), "word").limit(most_words - len(witness)).collect()
+def machine(witness: list[tuple[str, int, int]], usual: list[tuple[str, int, int]], landmarks: int) -> Model:
+    """The word machine from (word, toxic sentences, clean sentences) of either kind."""
     letters: dict[str, int] = {}
-    for r in [*usual, *witness]:
-        for c in r["word"]:
-            letters[c] = letters.get(c, 0) + r["t"] + r["c"]
-    triples = Triples("".join(sorted(letters, key=lambda c: (-letters[c], c))))
-    strings = [r["word"][:LONGEST] for r in witness] + [r["word"][:LONGEST] for r in usual]
+    for word, t, c in [*usual, *witness]:
+        for x in word:
+            letters[x] = letters.get(x, 0) + t + c
+    triples = Triples("".join(sorted(letters, key=lambda x: (-letters[x], x))))
+    strings = [w[:LONGEST] for w, _, _ in [*witness, *usual]]
     y = np.array([1.0] * len(witness) + [-1.0] * len(usual))
     row, code, value = triples.sparse(strings)
     # Landmarks: the strongest witnesses and the usual words most like any of them.
@@ -229,14 +203,59 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
     power, basis = np.linalg.eigh(kernel[marks])
     keep = power > 1e-6 * power.max()
     half = basis[:, keep] / np.sqrt(power[keep])
-    cost = np.where(y > 0, len(y) / (2 * max(1, len(witness))), len(y) / (2 * max(1, len(usual)))) / len(y)
-    w, bias = _svm(kernel @ half, y, cost, 1e-4)
+    weight = np.sqrt([float(t + c) for _, t, c in [*witness, *usual]])
+    cost = np.where(y > 0, weight / weight[y > 0].sum(), weight / max(1e-9, weight[y < 0].sum()))
+    w, bias = _svm(kernel @ half, y, cost, RIDGE)
     beta = half @ w
     table = np.zeros(ALPHABET**3)
     for j, m in enumerate(marks):
         part = slice(starts[m], starts[m + 1])
         np.add.at(table, code[part], beta[j] * value[part])
-    model = Model(triples.letters, table, float(bias), np.zeros(6), np.zeros(5), np.ones(5))
+    return Model(triples.letters, table, float(bias), np.zeros(6), np.zeros(5), np.ones(5))
+
+
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", most_words: int = 12_000, landmarks: int = 300) -> Model | None:
+    """Fit on ``labelled`` (text, 0/1); None where one of the classes is missing.
+
+    Reaching the driver: at most ``most_words`` words with counts and five
+    numbers a labelled row; bound the rows before (see ``sample``).
+    """
+    one_blas_thread()
+    spark = labelled.sparkSession
+
+    def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, w, y = [], [], []
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for sentence in _SENTENCE.split(text or ""):
+                    own = list(dict.fromkeys(words(sentence)))
+                    if own:
+                        h.append(" ".join(own))
+                        w.append(own)
+                        y.append(label)
+            yield pa.record_batch([pa.array(h, pa.string()), pa.array(w, pa.list_(pa.string())), pa.array(y, pa.int32())], names=["h", "words", "label"])
+
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
+    # Distinct sentences: copies of a document would make any of its words look telling.
+    said = rows.mapInArrow(sentences, "h string, words array<string>, label int").groupBy(F.xxhash64("h").alias("h")).agg(F.min("label").alias("label"), F.first("words").alias("words"))
+    said = stash(said.select("label", "words"), "toxic-sentences")
+    total = said.agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).first()
+    toxic = total["toxic"] or 0
+    clean = total["n"] - toxic
+    if not toxic or not clean:
+        return None
+    share = toxic / total["n"]
+    df = said.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
+    n = F.col("t") + F.col("c")
+    term = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * p))).otherwise(0.0)
+    ratio = 2 * (term("t", share) + term("c", 1 - share))
+    df = stash(df.withColumn("ratio", F.when(F.col("t") > n * share, ratio).otherwise(-ratio)), "toxic-words")
+    telling = (F.col("ratio") >= TELLING) & (F.col("t") * (1 - share) >= ODDS * F.col("c") * share)
+    witness = df.where(telling).orderBy(F.desc("ratio"), "word").limit(most_words // 4).collect()
+    if not witness:
+        witness = df.where("ratio > 0").orderBy(F.desc("ratio"), "word").limit(20).collect()
+    usual = df.where(F.col("ratio") < TELLING / 3).where("c > 0").orderBy(F.desc("c"), "word").limit(most_words - len(witness)).collect()
+    model = machine([(r["word"], r["t"], r["c"]) for r in witness], [(r["word"], r["t"], r["c"]) for r in usual], landmarks)
     shared = spark.sparkContext.broadcast(model)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
