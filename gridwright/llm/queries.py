@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, linededup, mixing, packing, qualityrules, simhash, topk, toxicity
+from . import classifier, linededup, mixing, packing, pii, qualityrules, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -38,11 +38,30 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), "gridwright-demo-key", count_col="n_replaced")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def damaged(recs: DataFrame) -> DataFrame:
+    """A second replica: some bodies zeroed, some with a wrong first byte, some files cut short."""
+    k = F.col("record_id")
+    head = F.substring_index("record", "\r\n\r\n", 1)
+    body = F.expr("substring(record, length(substring_index(record, '\r\n\r\n', 1)) + 5)")
+    zeroed = F.concat(head, F.lit("\r\n\r\n"), F.repeat(F.lit("0"), F.octet_length(body) - 4), F.lit("\r\n\r\n"))
+    record = F.when(k % 389 == 11, zeroed).when(k % 97 == 5, F.concat(F.lit("w"), F.expr("substring(record, 2)"))).otherwise(F.col("record"))
+    return recs.withColumn("record", record).where("not (file % 5 = 3 and record_id % 256 = 255)")
+
+
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = warc.records(table(spark, sf_dir, "pages"))
+    return warc.audit(recs, damaged(recs))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = classifier.held_out(F.col("doc_id"))
@@ -51,6 +70,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_line_dedup, op3_packing, op4_simhash_near_dedup, op5_quality_rules, op6_exact_topk, op8_quality_classifier, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_line_dedup, op3_packing, op4_simhash_near_dedup, op5_quality_rules, op6_exact_topk, op7_pii_pseudonyms, op8_quality_classifier, op9_warc_fixity, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
