@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import classifier, linededup, mixing, packing, pii, qualityrules, simhash, topk, toxicity, warc
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +73,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_line_dedup, op3_packing, op4_simhash_near_dedup, op5_quality_rules, op6_exact_topk, op7_pii_pseudonyms, op8_quality_classifier, op9_warc_fixity, op10_toxicity)}
 
-ORACLES: dict[str, str] = {}
+
