@@ -27,7 +27,7 @@ _CUT = re.compile(r"(?<=\S)(?= [^\W\d_])")
 #: Linear programs of up to this many length classes.
 CLASSES = 256
 
-PIECES = "doc_id long, start long, length int, doc_tokens long, ids binary, chunk int, class int, rank long"
+PIECES = "doc_id long, start long, length int, doc_tokens long, ids binary, chunk int, class int, rank long, piece long"
 
 
 @lru_cache(maxsize=2)
@@ -96,7 +96,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, budget: int =
     """One row a piece: at most ``budget`` ids (little-endian unsigned 32-bit), class and rank.
 
     Null texts count as empty: their piece is ``end_id`` alone.  chunk is the
-    task; rank counts the pieces of one class within it.
+    task; rank counts the pieces of one class within it, piece all of them.
     """
     step = -(-budget // CLASSES)
 
@@ -108,6 +108,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, budget: int =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         chunk = TaskContext.get().partitionId()
         seen = np.zeros(budget // step + 2, np.int64)
+        made = 0
         encoder = Encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -128,8 +129,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, budget: int =
                         ranks.append(seen[c])
                         seen[c] += 1
                 n = np.array(lengths, np.int32)
-                cols = [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(n), pa.array(totals, pa.int64()), pa.array(blobs, pa.binary()), pa.array(np.full(len(n), chunk, np.int32)), pa.array((-(-n // step)).astype(np.int32)), pa.array(ranks, pa.int64())]
-                yield pa.record_batch(cols, names=["doc_id", "start", "length", "doc_tokens", "ids", "chunk", "class", "rank"])
+                cols = [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(n), pa.array(totals, pa.int64()), pa.array(blobs, pa.binary()), pa.array(np.full(len(n), chunk, np.int32)), pa.array((-(-n // step)).astype(np.int32)), pa.array(ranks, pa.int64()), pa.array(np.arange(made, made + len(n)))]
+                made += len(n)
+                yield pa.record_batch(cols, names=["doc_id", "start", "length", "doc_tokens", "ids", "chunk", "class", "rank", "piece"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
@@ -247,7 +249,7 @@ def assign(pieces: DataFrame, budget: int = 2048) -> DataFrame:
         demand[r["class"] - 1] = r["n"]
     plan = slots(patterns(demand))
     if not plan:
-        return pieces.drop("chunk", "class", "rank").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+        return pieces.drop("class", "rank").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("class").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = counts.select("class", "chunk", before.alias("_base"))
     spots = spark.createDataFrame(plan, "class int, _from long, _to long, _each long, _sequence long, _place int")
@@ -258,7 +260,7 @@ def assign(pieces: DataFrame, budget: int = 2048) -> DataFrame:
     rows = rows.withColumn("sequence_id", F.col("_spot._sequence") + F.floor(nth / F.col("_spot._each")).cast("long")).withColumn("_place", F.col("_spot._place") + nth % F.col("_spot._each"))
     along = Window.partitionBy("sequence_id").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("offset", F.coalesce(F.sum("length").over(along), F.lit(0)).cast("long"))
-    return rows.drop("chunk", "class", "rank", "_base", "_slot", "_spots", "_spot", "_place")
+    return rows.drop("class", "rank", "_base", "_slot", "_spots", "_spot", "_place")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, budget: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,7 +270,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, budget: int = 2048, i
     rows are packed each; a null id stays null; an empty table gives no piece;
     other columns aren't read.  Padding is what a sequence lacks to ``budget``.
     """
-    return assign(stash(tokenised_pieces(docs, tokenizer, end_id, budget, id_col, text_col), "pieces"), budget)
+    pieces = stash(tokenised_pieces(docs, tokenizer, end_id, budget, id_col, text_col), "pieces")
+    placed = assign(pieces.drop("ids"), budget)  # the ids move once, when their place is known
+    out = pieces.select("chunk", "piece", "ids").join(placed, ["chunk", "piece"])
+    return out.select("doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset")
 
 
 def pack_digest(docs: DataFrame, tokenizer: str, end_id: int = 1, budget: int = 2048) -> DataFrame:
