@@ -80,3 +80,9 @@ def dom_id(tid: Column) -> Column:
 def table_map(tids: Column) -> Column:
     """Table numbers in order behind a leading 0."""
     return F.array_prepend(F.array_sort(tids), 0)
+
+
+def table_lines(text: Column) -> Column:
+    """``tid,<html>`` lines of a text as an array of (tid, html); other lines don't count."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\d+,"))
+    return F.transform(lines, lambda x: F.struct(F.substring_index(x, ",", 1).cast("int").alias("tid"), F.regexp_replace(x, r"^\d+,", "").alias("html")))

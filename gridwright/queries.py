@@ -512,3 +512,27 @@ def draw_seen_none(spark: SparkSession, sf_dir: str) -> DataFrame:
 def draw_five(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.col("n_regionkey").alias("tid"))
     return edits.draw_tables(t, t.where("doc_id < 5"))
+
+
+@query("select n_nationkey, '0,3,12' as map, '<table>' || n_name || ',x' as first from nation")
+def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serialised tables: only lines that begin with a number count."""
+    text = F.concat(F.lit("3,<table>"), F.col("n_name"), F.lit(",x\nnote, no table\n12,<table>y"))
+    found = table(spark, sf_dir, "nation").select("n_nationkey", prep.table_lines(text).alias("t"))
+    tids = prep.table_map(F.transform("t", lambda x: x["tid"]))
+    return found.select("n_nationkey", F.array_join(tids.cast("array<string>"), ",").alias("map"), F.get(F.col("t"), F.lit(0))["html"].alias("first"))
+
+
+@query("select n_nationkey, case when n_nationkey % 5 = 0 then 'new ' || n_name else n_name end as n_name from nation")
+def csv_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    new = old.where("n_nationkey % 5 = 0").withColumn("n_name", F.concat(F.lit("new "), F.col("n_name")))
+    return render.upsert(old, new, "n_nationkey")
+
+
+@query("""select n_name as "fileName", '[{"fileName":"' || n_name || '","tableIndex":1,"action":"add_row","range":null,"details":' || details || '},{"fileName":"' || n_name || '","tableIndex":1,"action":"merge","range":null,"details":' || details || '}]' as body from nation, (select '{"row":null,"col":null,"oldVal":null,"newVal":null,"index":' || 2 || ',"amount":null,"isRow":true}' as details)""")
+def edits_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("fileName"))
+    details = "named_struct('row', cast(null as bigint), 'col', cast(null as bigint), 'oldVal', cast(null as string), 'newVal', cast(null as string), 'index', 2L, 'amount', cast(null as bigint), 'isRow', true)"
+    rows = names.select("fileName", F.posexplode(F.array(F.lit("add_row"), F.lit("merge"))).alias("seq", "action"))
+    return render.edits_json(rows.selectExpr("cast(seq as bigint) as seq", "fileName", "1L as tableIndex", "action", "cast(null as string) as range", f"{details} as details"))
