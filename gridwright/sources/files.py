@@ -40,15 +40,24 @@ def decoded(df: DataFrame, content_col: str = "content", to: str = "html") -> Da
     return df.mapInArrow(run, schema)
 
 
+def _folder(spark: SparkSession, path: str, glob: str, recursive: bool) -> DataFrame:
+    """Files of a folder as binaryFile rows; folder names are never read as partitions."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    if recursive or "*" in path:
+        return raw
+    folder, root = F.regexp_extract("path", r"^(.*)/[^/]*$", 1), path.split(":", 1)[-1].rstrip("/")
+    return raw.where(folder.endswith(root) | F.col("path").endswith(root))
+
+
 def read_filings(spark: SparkSession, path: str, glob: str = "*.htm*", recursive: bool = False) -> DataFrame:
     """(doc_id, html): one row a file, the encoding found out."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    raw = _folder(spark, path, glob, recursive)
     return decoded(raw.select(F.col("path").alias("doc_id"), "content"))
 
 
 def list_csv(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(path) of the CSV files below a folder, sorted."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path").orderBy("path")
+    return _folder(spark, path, "*.csv", recursive).select("path").orderBy("path")
 
 
 def count_csv(spark: SparkSession, path: str) -> int:
@@ -73,7 +82,7 @@ def csv_grids(texts: DataFrame, id_col: str = "path", text_col: str = "text") ->
 
 def read_csv(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(doc_id, grid): every CSV below ``path`` as strings, the first line an ordinary row."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    raw = _folder(spark, path, "*.csv", recursive)
     return csv_grids(decoded(raw.select("path", "content"), to="text"))
 
 
