@@ -21,7 +21,8 @@ from .sources import files, html
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-EMPTY = F.array().cast("array<string>")
+def empty() -> Column:
+    return F.array().cast("array<string>")
 
 
 def query(sql: str | None = None):
@@ -190,12 +191,12 @@ GRID_RULES: dict[str, tuple[Callable[[Column], Column], str]] = {
     "cut_range": (lambda g: edits.cut_range(g, _rng(0, 3, 1, 3)), "'h,,' || chr(10) || ',,' || chr(10) || c_name || ',,'"),
     "copy_paste_range": (lambda g: edits.paste_range(g, _rng(1, 2, 0, 3), edits.copy_range(g, _rng(0, 1, 0, 3))), "'h,,a' || chr(10) || 'h,,a' || chr(10) || c_name || case when c_custkey % 3 = 0 then ',,1' else ',x,1' end"),
     "remove_row": (lambda g: edits.remove_rows(g, F.lit(2), F.lit(1)), "'h,,a' || chr(10) || c_name || case when c_custkey % 3 = 0 then ',,1' else ',x,1' end"),
-    "remove_col": (lambda g: edits.remove_cols(EMPTY, g, F.lit(1), F.lit(5))[1], "'h' || chr(10) || '' || chr(10) || c_name"),
+    "remove_col": (lambda g: edits.remove_cols(empty(), g, F.lit(1), F.lit(5))[1], "'h' || chr(10) || '' || chr(10) || c_name"),
     "add_row": (lambda g: edits.add_rows(row("", "", ""), g, F.lit(1), F.lit(1)), "',,' || chr(10) || 'h,,a' || chr(10) || ',,' || chr(10) || c_name || case when c_custkey % 3 = 0 then ',,1' else ',x,1' end"),
-    "add_col": (lambda g: edits.add_cols(EMPTY, g, F.lit(1), F.lit(1))[1], "'h,,,a' || chr(10) || ',,,' || chr(10) || c_name || case when c_custkey % 3 = 0 then ',,,1' else ',,x,1' end"),
-    "edit_cell": (lambda g: edits.edit_cell(EMPTY, g, F.lit(1), F.lit(1), F.col("c_mktsegment"))[1], "'h,' || c_mktsegment || ',a' || chr(10) || ',,' || chr(10) || c_name || case when c_custkey % 3 = 0 then ',,1' else ',x,1' end"),
+    "add_col": (lambda g: edits.add_cols(empty(), g, F.lit(1), F.lit(1))[1], "'h,,,a' || chr(10) || ',,,' || chr(10) || c_name || case when c_custkey % 3 = 0 then ',,,1' else ',,x,1' end"),
+    "edit_cell": (lambda g: edits.edit_cell(empty(), g, F.lit(1), F.lit(1), F.col("c_mktsegment"))[1], "'h,' || c_mktsegment || ',a' || chr(10) || ',,' || chr(10) || c_name || case when c_custkey % 3 = 0 then ',,1' else ',x,1' end"),
     "merge_rows": (lambda g: edits.merge_rows(g, F.lit(1)), "'h,,a' || chr(10) || c_name || case when c_custkey % 3 = 0 then ',,1' else ',x,1' end"),
-    "merge_cols": (lambda g: edits.merge_cols(EMPTY, g, F.lit(1))[1], "'h,a' || chr(10) || ',' || chr(10) || c_name || case when c_custkey % 3 = 0 then ',1' else ',x 1' end"),
+    "merge_cols": (lambda g: edits.merge_cols(empty(), g, F.lit(1))[1], "'h,a' || chr(10) || ',' || chr(10) || c_name || case when c_custkey % 3 = 0 then ',1' else ',x 1' end"),
 }
 
 
