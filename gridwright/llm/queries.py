@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classifier, linededup, mixing, packing, pii, qualityrules, simhash, topk, toxicity, warc
-from .common import table
+from .common import stash, table
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -18,7 +18,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", linededup.page_host(F.col("url")).alias("host"), linededup.page_lines(F.col("html")).alias("text"))
-    return linededup.drop_boilerplate(pages, dropped_col="n_dropped")
+    return linededup.drop_boilerplate(stash(pages, "page-lines"), dropped_col="n_dropped")  # counted and filtered: extract once
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
