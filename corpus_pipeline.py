@@ -15,8 +15,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that many documents of its source have."""
-    return linededup.drop_boilerplate(docs, "text", "source")
+    """Every document, without the lines that many different documents of its source have."""
+    return linededup.drop_boilerplate(docs, "text", "source", copies_once=True)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

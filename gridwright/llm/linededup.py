@@ -25,29 +25,38 @@ def _with_word(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACES)) != ""
 
 
-def boilerplate(pages: DataFrame, text_col: str, host_col: str, ratio: float, min_pages: int) -> DataFrame:
-    """(host, line_hash, pages, host_pages) of the lines on more than ``ratio`` of a host's pages."""
-    rows = pages.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
+def boilerplate(pages: DataFrame, text_col: str, host_col: str, ratio: float, min_pages: int, copies_once: bool = False) -> DataFrame:
+    """(host, line_hash, pages, host_pages) of the lines on more than ``ratio`` of a host's pages.
+
+    With ``copies_once`` a host's pages are its distinct texts, in both counts.
+    """
+    host, text = F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col)
+    own = F.array_distinct(F.transform(F.filter(_lines(text), _with_word), _hash)).alias("own")
+    rows = pages.select(host, own)
+    if copies_once:  # line hashes, not texts, meet by digest
+        texts = pages.select(host, F.xxhash64(text).alias("digest"), own)
+        rows = stash(texts.groupBy("host", "digest").agg(F.first("own").alias("own")).drop("digest"), "distinct-lines")
     totals = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
-    own = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _with_word), _hash))
-    counts = rows.select("host", F.explode(own).alias("line_hash")).groupBy("host", "line_hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    counts = rows.select("host", F.explode("own").alias("line_hash")).groupBy("host", "line_hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     return counts.join(totals, "host").where(F.col("pages") > ratio * F.col("host_pages")).select("host", "line_hash", "pages", "host_pages")
 
 
-def drop_boilerplate(pages: DataFrame, text_col: str = "text", host_col: str = "host", ratio: float = 0.02, min_pages: int = 5, dropped_col: str | None = None, broadcast_lines: int = 200_000) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, text_col: str = "text", host_col: str = "host", ratio: float = 0.02, min_pages: int = 5, dropped_col: str | None = None, broadcast_lines: int = 200_000, copies_once: bool = False) -> DataFrame:
     """``pages`` without the lines that too large a share of their host's pages has.
 
     Lines are split at \\n and compared without outer white space; lines without
     a word are never counted and stay.  A null host counts as the host ''; a null
-    text stays null; repeated rows count as pages each; a text of which every
-    line goes becomes empty and its row stays.  ``min_pages`` keeps lines of
-    small hosts.  ``dropped_col``, if given, gets the number of lines dropped.
+    text stays null; repeated rows count as pages each, or with ``copies_once``
+    equal texts of a host as one page, so that a copied document isn't taken for
+    boilerplate; a text of which every line goes becomes empty and its row stays.
+    ``min_pages`` keeps lines of small hosts.  ``dropped_col``, if given, gets the
+    number of lines dropped.
 
     Up to ``broadcast_lines`` boilerplate lines are broadcast; beyond that
     count, hosts are joined by a shuffle with the same result.
     """
     host, bad, drop = free_name(pages, "_host", "_bad", "_lines")
-    found = stash(boilerplate(pages, text_col, host_col, ratio, min_pages), "boilerplate")
+    found = stash(boilerplate(pages, text_col, host_col, ratio, min_pages, copies_once), "boilerplate")
     by_host = found.groupBy(F.col("host").alias(host)).agg(F.sort_array(F.collect_list("line_hash")).alias(bad))
     if found.count() <= broadcast_lines:
         by_host = F.broadcast(by_host)

@@ -21,3 +21,13 @@ def test_stages_keep_columns_and_rows(spark):
         before = now
     packed = pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == before
+
+
+def test_copies_are_no_boilerplate(spark):
+    """Copies of one document over the ratio keep their text, and one of them stays; shared lines still go."""
+    copy = "first line of the copied document\nand a second one of it"
+    rows = [(k, f"menu of the site\n{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]} says something of its own", "s") for k in range(40)] + [(100 + k, copy, "s") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in pipeline.line_dedup_stage(spark, docs, SF).collect()}
+    assert {got[100 + k] for k in range(20)} == {copy}
+    assert not any("menu" in got[k] for k in range(40)) and all("of its own" in got[k] for k in range(40))
