@@ -1,0 +1,135 @@
+"""Near duplicates by true Jaccard similarity of word shingles.
+
+MinHash bands only propose pairs; a pair links if the shared part of its two
+whole shingle sets is ``similarity`` or more of their union.  First each text is
+compared with one text of every band it shares; texts not yet joined by that are
+then compared with all others of the band, so no pair a band proposes is left
+out and groups of near copies don't cost all their pairs.
+"""
+
+from __future__ import annotations
+
+import string
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import SPACES, WORD_GAP, free_name, id_or_digest, stash
+from .simhash import components
+
+#: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: all but 3 in a million at 0.8.
+BANDS, ROWS = 32, 5
+_RNG = np.random.default_rng(20)
+_TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+BLOCK = 1 << 12
+
+
+def normal(text: Column) -> Column:
+    """A text's words, A-Z in lower case, with one space between; null is ''."""
+    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.btrim(F.regexp_replace(low, WORD_GAP, " "), F.lit(SPACES))
+
+
+def shingles(text: str, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a normal text; a shorter text is one shingle."""
+    from xxhash import xxh64_intdigest
+
+    if not text:
+        return np.zeros(0, np.uint64)
+    words = text.encode("utf-8", "surrogatepass").split(b" ")
+    if len(words) <= width:
+        return np.array([xxh64_intdigest(b" ".join(words))], np.uint64)
+    cut = (b" ".join(words[k : k + width]) for k in range(len(words) - width + 1))
+    return np.unique(np.fromiter(map(xxh64_intdigest, cut), np.uint64, len(words) - width + 1))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One signed key a band from the MinHash signature of a shingle set; an empty set has none."""
+    from xxhash import xxh64_intdigest
+
+    if not len(hashes):
+        return []
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for k in range(0, len(hashes), BLOCK):
+        np.minimum(low, (_TIMES[:, None] * hashes[None, k : k + BLOCK] + _PLUS[:, None]).min(axis=1), out=low)
+    raw = low.tobytes()
+    keys = [xxh64_intdigest(raw[8 * ROWS * b : 8 * ROWS * (b + 1)], b) for b in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose texts are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            keep = []
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if b != last:
+                    last, left = b, shingles(y.as_py(), width)
+                right = shingles(x.as_py(), width)
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(both >= similarity * (len(left) + len(right) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    of_a = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    of_b = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def links(docs: DataFrame, text_col: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b), a > b: links between hashes of normal texts that keep every component whole."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, keys, seen = [], [], set()
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if node not in seen:
+                    seen.add(node)
+                    own = bands(shingles(text.as_py(), width))
+                    keys += own
+                    nodes += [node] * len(own)
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], names=["key", "node"])
+
+    plain = docs.select(normal(F.col(f"`{text_col}`")).alias("text")).select(F.xxhash64("text").alias("node"), "text")
+    signed = plain.mapInArrow(sign, "key long, node long").distinct()
+    in_band = Window.partitionBy("key")
+    shared = signed.withColumn("n", F.count("*").over(in_band)).withColumn("low", F.min("node").over(in_band))
+    shared = stash(shared.where("n > 1").select("key", "node", "low"), "bands")
+    proposed = shared.select("node").distinct()
+    texts = stash(plain.join(proposed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "proposed-texts")
+    stars = stash(shared.where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
+    near = stash(_verified(stars, texts, width, similarity), "near")
+    group = stash(components(near), "groups")
+    # What a band still holds of different groups is compared in full.
+    grouped = shared.join(group.withColumnRenamed("a", "node"), "node", "left").select("key", "node", F.coalesce("b", "node").alias("comp"))
+    apart = Window.partitionBy("key")
+    mixed = stash(grouped.withColumn("x", F.min("comp").over(apart)).withColumn("y", F.max("comp").over(apart)).where("x < y").select("key", "node", "comp"), "mixed-bands")
+    one, other = mixed.select("key", F.col("node").alias("a"), F.col("comp").alias("p")), mixed.select("key", F.col("node").alias("b"), F.col("comp").alias("q"))
+    rest = one.join(other, "key").where("a > b and p <> q").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    return near.union(stash(_verified(rest, texts, width, similarity), "near"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that with the smallest id.
+
+    Texts with the same words are copies; others link if their sets of
+    ``width``-word shingles have a Jaccard similarity of ``similarity`` or more,
+    and groups are what links connect.  Null and wordless texts are copies of
+    each other; a null id is replaced by a negative one made from the text; of
+    repeated rows one stays.  Columns are those of ``docs``.
+    """
+    node, key, same, rank = free_name(docs, "_node", "_key", "_same", "_rank")
+    group = components(links(docs, text_col, width, similarity))
+    own = docs.select(F.xxhash64(normal(F.col(f"`{text_col}`"))).alias("node"), id_or_digest(id_col, text_col).alias("id"))
+    first = own.groupBy("node").agg(F.min("id").alias("id"))
+    first = first.join(group.withColumnRenamed("a", "node"), "node", "left").groupBy(F.coalesce("b", "node").alias("b")).agg(F.min(F.struct("id", "node")).alias("s"))
+    stay = stash(first.select(F.col("s.id").alias(key), F.col("s.node").alias(node)), "stay")
+    kept = docs.withColumn(key, id_or_digest(id_col, text_col)).withColumn(node, F.xxhash64(normal(F.col(f"`{text_col}`")))).join(stay, [key, node], "left_semi")
+    kept = kept.withColumn(same, F.xxhash64(text_col))
+    return kept.withColumn(rank, F.row_number().over(Window.partitionBy(key, node).orderBy(same))).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,5 +1,6 @@
 """The corpus pipeline end to end on the smallest tables."""
 
+import numpy as np
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -31,3 +32,38 @@ def test_copies_are_no_boilerplate(spark):
     got = {r.doc_id: r.text for r in pipeline.line_dedup_stage(spark, docs, SF).collect()}
     assert {got[100 + k] for k in range(20)} == {copy}
     assert not any("menu" in got[k] for k in range(40)) and all("of its own" in got[k] for k in range(40))
+
+
+def plain_groups(texts, least=0.8):
+    words = {i: (t or "").lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if b < a and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {find(i) for i in texts}
+
+
+def test_near_copies_at_the_limit(spark):
+    """Copies with one to four words changed lie on both sides of 0.8; one of each group stays."""
+    rng = np.random.default_rng(4)
+    texts = {}
+    for g in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 140)))]
+        for k in range(4):
+            own = list(base)
+            for at in rng.choice(len(own), int(rng.integers(0, 5)), replace=False):
+                own[at] = f"x{rng.integers(0, 10**6)}"
+            texts[4 * g + k] = " ".join(own)
+    texts |= {1000: None, 1001: " \n", 1002: "One two", 1003: "one  TWO", 1004: "one three"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = sorted(r.doc_id for r in pipeline.near_dedup_stage(spark, docs, SF).collect())
+    assert got == sorted(plain_groups(texts))
