@@ -10,10 +10,20 @@ from ..functions.cells import clean_space
 FORM_10K, FORM_10Q = "10-K", "10-Q"
 
 
+#: A form's name as filings write it: spaces, entities or tags may stand before the number.
+_GAP = r"(?=[\s\x{a0}&<])[\s\x{a0}]*+(?:(?:&nbsp;|&#160;|&#xa0;|<[^>]*>)[\s\x{a0}]*+)*+"
+_NAMED = rf"(?i)\bform{_GAP}10(?:-|\x{{2010}}|\x{{2011}}|&#8208;|&#8209;)([kq])(?![a-z])"
+
+
 def form_of(html: Column) -> Column:
-    """10-K where a 10-K is announced early in the text or by a <10k> tag, else 10-Q."""
-    head = F.lower(F.substring(F.coalesce(html, F.lit("")), 1, 20000))
-    return F.when(head.rlike(r"<10k|form\s+10-k\b"), FORM_10K).otherwise(FORM_10Q)
+    """10-K by a <10k> tag, else the form that the text behind the ix:header block names first, else 10-Q.
+
+    The whole text is read.  Quarterly reports refer to the last Form 10-K, so
+    what counts is the first name, that of the cover.
+    """
+    text = drop_header_blocks(F.coalesce(html, F.lit("")))
+    named = F.lower(F.regexp_extract(text, _NAMED, 1))
+    return F.when(F.lower(text).contains("<10k") | (named == "k"), FORM_10K).otherwise(FORM_10Q)
 
 
 def paragraph_indent(points: Column) -> Column:

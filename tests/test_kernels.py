@@ -88,3 +88,21 @@ def test_csv_and_edit_files(spark, tmp_path):
     found = files.resolve_files(files.read_edits(spark, str(tmp_path)), files.list_csv(spark, str(tmp_path))).collect()
     assert [r.fileName for r in found] == ["t"] and found[0].path.endswith("t_1.csv")
     assert files.count_csv(spark, str(tmp_path)) == 1
+
+
+def test_form_is_read_from_the_whole_text(spark):
+    from gridwright.operators import prep
+
+    header = "<ix:header>" + "<xbrli:context>Form 10-Q</xbrli:context>" * 2000 + "</ix:header>"
+    style = "<style>" + "p { margin: 0 } " * 5000 + "</style>"
+    rows = [
+        (1, f"<html>{header}<p>FORM 10-K</p></html>", "10-K"),
+        (2, f"<html>{style}<p>Form&nbsp;<b>10-K</b></p></html>", "10-K"),
+        (3, f"<html>{style}<p>FORM 10-Q</p><p>see our Form 10-K for the year</p></html>", "10-Q"),
+        (4, f"<html>{style}<p>FORM 10-K</p><p>see our Form 10-Q for the quarter</p></html>", "10-K"),
+        (5, "<10K>", "10-K"),
+        (6, None, "10-Q"),
+    ]
+    df = spark.createDataFrame(rows, "id long, html string, want string")
+    got = df.select("id", "want", prep.form_of(F.col("html")).alias("form")).collect()
+    assert {r.id: r.form for r in got} == {r.id: r.want for r in got}
