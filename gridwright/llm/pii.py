@@ -9,6 +9,7 @@ format different ones.  Built-in functions only; rows never move.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,8 @@ IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 IBAN = r"(?<![\p{L}0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: A whole run of numbers of 13 digits or more, up to where another value starts; cards are sought among its parts.
+CARD = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{'|'.join((EMAIL, DATE, IP, IBAN, SSN, PHONE))})[0-9]++)*+"
 ANY = "|".join((EMAIL, DATE, IP, IBAN, SSN, PHONE, CARD))
 #: Cheap test that a text can hold any of them.
 HINT = r"[0-9]{2}|@"
@@ -152,6 +154,55 @@ def _card(m: Column, key: str) -> Column:
     return refill(m, F.concat(body, last.cast("string")))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _cards(m: Column, key: str) -> Column:
+    """(value, n): a run of numbers with the n cards among its separator-bounded parts replaced.
+
+    Parts of 13 to 19 digits with a Luhn sum are cards, those in a usual
+    grouping (4-4-4-4, 4-6-5, unbroken) before the whole run, that before
+    others, then the leftmost and longest; no two overlap.
+    """
+
+    def spans(t: Column) -> Column:
+        def ends(i: Column) -> Column:
+            def span(j: Column) -> Column:
+                part = F.slice(t, i + 1, j - i + 1)
+                shape = F.array_join(F.transform(part, lambda x: F.length(x).cast("string")), "-")
+                usual = (i == j) | shape.isin("4-4-4-4", "4-6-5")
+                rank = F.when(usual, 0).when((i == 0) & (j == F.size(t) - 1), 1).otherwise(2)
+                return F.struct(rank.alias("rank"), i.alias("i"), (-j).alias("to"), F.array_join(part, "").alias("d"))
+
+            valid = lambda x: F.when(F.length(x["d"]).between(13, 19) & ~x["d"].rlike("^0+$"), luhn_sum(x["d"]) % 10 == 0).otherwise(False)
+            return F.filter(F.transform(F.sequence(i, F.least(F.size(t) - 1, i + 18)), span), valid)
+
+        return F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), F.size(t) - 1), ends)))
+
+    def start(t: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(t, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x) + 1)
+
+    def picked(found: Column) -> Column:
+        none = F.slice(found, 1, 0)
+        free = lambda acc, x: ~F.exists(acc, lambda y: (y["i"] <= -x["to"]) & (x["i"] <= -y["to"]))
+        return F.aggregate(found, none, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+
+    def replaced(t: Column) -> Column:
+        first = F.struct(F.lit("").alias("value"), F.lit(0).alias("n"), F.lit(0).alias("at"))
+        places = F.array_sort(F.transform(picked(spans(t)), lambda x: F.struct(start(t, x["i"]).alias("a"), (start(t, 1 - x["to"]) - 1).alias("b"))))
+
+        def step(acc: Column, x: Column) -> Column:
+            old = F.substring(m, x["a"] + 1, x["b"] - x["a"])
+            gap = F.substring(m, acc["at"] + 1, x["a"] - acc["at"])
+            return _let(_card(old, key), lambda new: F.struct(F.concat(acc["value"], gap, new).alias("value"), (acc["n"] + (new != old).cast("int")).alias("n"), x["b"].alias("at")))
+
+        return F.aggregate(places, first, step, lambda acc: F.struct(F.concat(acc["value"], F.substring(m, acc["at"] + 1, F.length(m))).alias("value"), acc["n"].alias("n")))
+
+    return _let(F.split(m, "[ -]"), replaced)
+
+
 def _phone(m: Column, key: str) -> Column:
     code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)  # the country stays
     rest = F.substring(m, F.length(code) + 1, F.length(m))
@@ -179,18 +230,18 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of a found value, or the value itself where it isn't valid."""
+    """(value, n): the pseudonym of a found value, or the value itself where it isn't valid; n values were replaced."""
     d = digits_of(m)
     octets = reduce(lambda x, y: x & y, [F.split_part(m, F.lit("."), F.lit(k)).cast("int") < 256 for k in (1, 2, 3, 4)])
-    return (
+    one = (
         F.when(m.contains("@"), _email(m, key))
         .when(m.rlike(f"^(?:{DATE})$"), _date(m, key))
         .when(m.rlike(f"^(?:{IP})$"), F.when(octets, _ip(m, key)).otherwise(m))
         .when(m.rlike("^[A-Z]{2}"), F.when(iban_rest(F.replace(m, F.lit(" "), F.lit(""))) == 1, _iban(m, key)).otherwise(m))
         .when(m.rlike(f"^(?:{SSN})$"), F.when(m.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), _ssn(m, key)).otherwise(m))
         .when(m.rlike(f"^(?:{PHONE})$"), F.when(F.length(d).between(8, 15), _phone(m, key)).otherwise(m))
-        .otherwise(F.when((luhn_sum(d) % 10 == 0) & ~d.rlike("^0+$"), _card(m, key)).otherwise(m))
     )
+    return _let(one, lambda new: F.when(new.isNull(), _cards(m, key)).otherwise(F.struct(new.alias("value"), (new != m).cast("int").alias("n"))))
 
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -208,9 +259,9 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col:
     df = df.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, key))))
     own = F.col("d").getField(text_col)
     parts = F.split(own, ANY, -1)
-    merged = F.array_join(F.zip_with(parts, "new", lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
+    merged = F.array_join(F.zip_with(parts, "new", lambda p, n: F.concat(p, F.coalesce(n["value"], F.lit("")))), "")
     out = [F.when(F.col("new").isNull(), own).otherwise(merged).alias(c) if c == text_col else F.col("d").getField(c).alias(c) for c in docs.columns]
     if count_col:
-        changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
+        changed = F.aggregate("new", F.lit(0), lambda n, x: n + x["n"])
         out.append(F.when(F.col("new").isNull(), 0).otherwise(changed).cast("long").alias(count_col))
     return df.select(*out)

@@ -277,6 +277,27 @@ def test_pseudonyms(spark):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def luhn(digits):
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_cards_beside_other_numbers(spark):
+    card, other = "4111 1111 1111 1111", "3782 822463 10005"
+    texts = [f"{card} 12/25", f"{card} 123", f"7 {card}", f"12 34 {card}", f"{card} {other} 9", f"{card} 2020-02-29", f"{card} 31.12.1999", f"{card} 10.0.0.1", f"{card}-555-123-4567", f"1 {card} x@y.org", "1234 5678 9012 3456 12", "4111-1111-1111-1111-123", card, "0 " * 4000 + "0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(df, "k", count_col="n").collect()}
+    assert [got[k].n for k in range(len(texts))] == [1, 1, 1, 1, 2, 2, 2, 2, 2, 2, 0, 1, 1, 0]
+    new = got[12].text
+    assert new != card and luhn(new.replace(" ", ""))
+    for k, keep in {0: f"{new} 12/25", 1: f"{new} 123", 2: f"7 {new}", 3: f"12 34 {new}", 10: texts[10], 11: new.replace(" ", "-") + "-123", 13: texts[13]}.items():
+        assert got[k].text == keep
+    for k in (4, 5, 6, 7, 8, 9):
+        assert card not in got[k].text and new in got[k].text
+    for k, gone in {4: other, 5: "2020-02-29", 6: "31.12.1999", 7: "10.0.0.1", 8: "555-123-4567", 9: "x@y"}.items():
+        assert gone not in got[k].text
+    assert got[4].text.endswith(" 9") and len(got[4].text) == len(texts[4])
+
+
 def test_permutations_are_permutations(spark):
     grid = spark.range(73049).select(pii.permute_grid(F.col("id"), pii.DAYS_A, pii.DAYS_B, "k", "date").alias("x"))
     assert grid.distinct().count() == 73049
