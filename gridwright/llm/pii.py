@@ -26,8 +26,9 @@ PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9
 #: A whole run of numbers of 13 digits or more, up to where another value starts; cards are sought among its parts.
 CARD = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{'|'.join((EMAIL, DATE, IP, IBAN, SSN, PHONE))})[0-9]++)*+"
 ANY = "|".join((EMAIL, DATE, IP, IBAN, SSN, PHONE, CARD))
-#: Cheap test that a text can hold any of them.
-HINT = r"[0-9]{2}|@"
+#: Cheap test that a text can hold any of them: each alternative implies it, an
+#: address by a digit, a dot and a digit, a card also by digits one by one.
+HINT = r"[0-9][ .-]?[0-9]|@"
 
 ROUNDS = 10
 #: Days from 1900-01-01 to 2099-12-31: 73,049 = 17 * 4,297, a grid that a Feistel network permutes.

@@ -298,6 +298,14 @@ def test_cards_beside_other_numbers(spark):
     assert got[4].text.endswith(" 9") and len(got[4].text) == len(texts[4])
 
 
+def test_values_of_single_digits(spark):
+    texts = ["at 8.8.8.8 only", "at 8.8.8.8 and 12", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "no 1 or 2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(df, "k", count_col="n").collect()}
+    assert [got[k].n for k in range(5)] == [1, 1, 1, 1, 0]
+    assert got[0].text.split()[1] == got[1].text.split()[1] != "8.8.8.8"
+
+
 def test_permutations_are_permutations(spark):
     grid = spark.range(73049).select(pii.permute_grid(F.col("id"), pii.DAYS_A, pii.DAYS_B, "k", "date").alias("x"))
     assert grid.distinct().count() == 73049
