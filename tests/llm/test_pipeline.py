@@ -67,3 +67,17 @@ def test_near_copies_at_the_limit(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = sorted(r.doc_id for r in pipeline.near_dedup_stage(spark, docs, SF).collect())
     assert got == sorted(plain_groups(texts))
+
+
+def test_stages_read_what_the_last_one_wrote(spark, monkeypatch):
+    """Every later stage, and the caller, gets a reread Parquet table, not the stages before it."""
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(docs)
+        return docs.where("doc_id % 2 = 0")
+
+    monkeypatch.setattr(pipeline, "STAGES", [("one", stage), ("two", stage)])
+    out = pipeline.run(spark, SF)
+    assert all("/one-" in f for f in seen[1].inputFiles()) and all("/two-" in f for f in out.inputFiles())
+    assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 0").count()
