@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.llm import linededup, mixing, neardup, packing, toxicity
+from gridwright.llm import linededup, mixing, packing, simhash, toxicity
 from gridwright.llm.common import stash
 
 
@@ -22,7 +22,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
-    return neardup.drop_near_duplicates(docs, width=5, similarity=0.8)
+    return simhash.drop_near_duplicates(docs, width=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,20 +8,26 @@ fingerprint goes once to each prefix that one of its variants has, and the task
 that owns the prefix expands just those variants, sorts them in bounded slices
 and keeps a spanning forest.  Only distinct fingerprints take part, so a group
 of copies, however large, is one row.
+
+One 64-bit fingerprint can't tell a word-shingle similarity of 0.8: such texts
+differ in 10 bits of 64.  ``drop_near_duplicates`` therefore hashes balls in
+BLOCKS fingerprints of 32 bits each, at 2 bits, and verifies the pairs that
+collide on their whole shingle sets.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import string
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, id_or_digest, stash
+from .common import SPACES, WORD_GAP, free_name, id_or_digest, stash
 
 BITS = 64
 #: Variants that a task holds at once; prefixes are as long as this asks.
@@ -29,6 +35,18 @@ SLICE = 1 << 22
 #: Fingerprints of whole prefixes that a task gathers before it expands them.
 HELD = 1 << 16
 
+#: Fingerprints of a text's shingle set, their bits, and the bits in which two may differ to meet.
+#: Texts of similarity 0.8 meet in one of them with a probability of 0.98, of 0.85 of 0.9996.
+BLOCKS, WIDE, NEAR = 32, 32, 2
+#: Texts that meet are compared in 96 bits, later in all 1024.  In more than FAR they are no candidates (similarity
+#: 0.8 has 14.5 of 96 and 155 of 1024 on average, with deviations of 3.5 and 11.5); one within TIGHT of another needs no
+#: turn of its own against further texts.
+FAR, TIGHT = 28, 9
+WHOLE_FAR, WHOLE_TIGHT = 190, 64
+_RNG = np.random.default_rng(20)
+_TIMES = _RNG.integers(0, 1 << 63, BLOCKS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RNG.integers(0, 1 << 63, BLOCKS // 2, dtype=np.uint64)
+
 
 def fingerprint(text: str | None, width: int = 4) -> int:
     """64-bit SimHash of the word shingles of one whole text, as an unsigned integer."""
@@ -130,12 +148,33 @@ def _meet(fps: np.ndarray, ids: np.ndarray, moved: np.ndarray, spent: np.ndarray
     return ids[linked], ids[root[linked]]
 
 
+def by_prefix(batches: Iterator[pa.RecordBatch], close: Callable[[list[tuple[np.ndarray, ...]]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``close`` of whole prefixes, the first column, gathered up to HELD rows or more."""
+    held, size, last = [], 0, None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        edges = (np.flatnonzero(np.diff(cols[0])) + 1).tolist()
+        for a, b in zip([0, *edges], [*edges, len(cols[0])]):
+            if a == b:
+                continue
+            if cols[0][a] != last and size >= HELD:
+                yield close(held)
+                held, size = [], 0
+            last = cols[0][a]
+            held.append(tuple(c[a:b] for c in cols))
+            size += b - a
+    if held:
+        yield close(held)
+
+
 def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     """Distinct (a, b), a > b: links between ``nodes`` (id, fp) that keep every component whole.
 
     ``fp`` must be distinct.  Of the links that meet in one prefix only a
     spanning forest is returned, never all pairs of a group.
     """
+    if radius % 2:
+        raise ValueError("radius must be even: balls have half of it")
     n, half = nodes.count(), radius // 2
     per = sum(math.comb(BITS, k) for k in range(half + 1))
     key = min(30, max(4, math.ceil(math.log2(max(1, n * per / SLICE)) + 1)))
@@ -158,35 +197,22 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
         return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            edges = (np.flatnonzero(np.diff(cols[0])) + 1).tolist()
-            for a, b in zip([0, *edges], [*edges, len(cols[0])]):
-                if a == b:
-                    continue
-                if cols[0][a] != last and size >= HELD:
-                    yield close(held)
-                    held, size = [], 0
-                last = cols[0][a]
-                held.append(tuple(c[a:b] for c in cols))
-                size += b - a
-        if held:
-            yield close(held)
+        yield from by_prefix(batches, close)
 
     sent = nodes.select("id", "fp").mapInArrow(send, "prefix int, id long, fp long")
     met = sent.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(meet, "a long, b long")
     return met.distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b): every node of ``edges`` (a > b) but the smallest of its component, with that smallest.
 
-    Alternating large-star and small-star steps; each round is a table in the
-    shared folder, and only its row count and checksum reach the driver.
+    Alternating large-star and small-star steps until nothing changes; each round
+    is a table in the shared folder, and only its row count and checksum reach
+    the driver.
     """
     now, before = stash(edges, "links"), None
-    for _ in range(most_rounds):
+    while True:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if mark == before or not mark["n"]:
             return now
@@ -197,7 +223,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
         now = stash(small, "links")
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -216,14 +241,236 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(label, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class: that with the smallest id.
+def normal(text: Column) -> Column:
+    """A text's words, A-Z in lower case, with one space between; null is ''."""
+    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.btrim(F.regexp_replace(low, WORD_GAP, " "), F.lit(SPACES))
+
 
-    Of repeated rows with that id one stays.  Columns are those of ``docs``.
+def shingles(text: str, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a normal text; a shorter text is one shingle."""
+    from xxhash import xxh64_intdigest
+
+    if not text:
+        return np.zeros(0, np.uint64)
+    raw = text.encode("utf-8", "surrogatepass")
+    gaps = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+    n = len(gaps) + 2 - width
+    if n <= 1:
+        return np.array([xxh64_intdigest(raw)], np.uint64)
+    starts = np.concatenate(([0], gaps[: n - 1] + 1)).tolist()
+    ends = np.concatenate((gaps[width - 1 :], [len(raw)])).tolist()
+    return np.unique(np.fromiter((xxh64_intdigest(raw[a:b]) for a, b in zip(starts, ends)), np.uint64, n))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The BLOCKS SimHash fingerprints of a shingle set, two to an unsigned word: a bit is 1 if set in over half the hashes."""
+    counts = np.zeros(BITS * len(_TIMES), np.int64)
+    for k in range(0, len(hashes), 255):  # sums of at most 255 ones stay in a byte
+        z = hashes[k : k + 255, None] * _TIMES + _PLUS
+        z = (z ^ (z >> np.uint64(32))) * _TIMES
+        z ^= z >> np.uint64(29)
+        counts += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
+
+
+def _closest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the edges a-b of distance d between n nodes."""
+    root, kept = np.arange(n), []
+    for at in np.unique(d):
+        left = np.flatnonzero(d == at)
+        while len(left := left[root[a[left]] != root[b[left]]]):
+            x, y = root[a[left]], root[b[left]]
+            high, first = np.unique(np.maximum(x, y), return_index=True)  # each component joins a smaller one
+            root[high] = np.minimum(x, y)[first]
+            while not np.array_equal(root, up := root[root]):
+                root = up
+            kept.append(left[first])
+    kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return a[kept], b[kept], d[kept]
+
+
+def _meetings(words: np.ndarray, node: np.ndarray, moved: np.ndarray, spent: np.ndarray, inner: list[np.ndarray], far: int, tight: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, differing bits) of rows that share a variant and differ in ``far`` bits of ``words`` or fewer.
+
+    moved: a row's fingerprint with the prefix it was sent to; spent: the bits in
+    which that differs.  In each bucket of equal variants the first row is
+    compared with all others; rows not within ``tight`` bits of it take their turn
+    as first.  So a tight group costs its size, and no pair of a loose one is left
+    out.  Variants are sorted in slices by their low bits: memory stays bounded.
+    """
+    half = len(inner) - 1
+    total = sum(int((spent == k).sum()) * len(inner[half - k]) for k in range(half + 1))
+    cut = max(0, math.ceil(math.log2(max(1, total) / SLICE)))
+    low = np.uint64((1 << cut) - 1)
+    for part in range(1 << cut):
+        variants, rows = [], []
+        for k in range(half + 1):
+            at, masks = np.flatnonzero(spent == k), inner[half - k]
+            step = max(1, SLICE // len(masks))
+            for j in range(0, len(at), step):
+                v = moved[at[j : j + step]][:, None] ^ masks[None, :]
+                r = np.broadcast_to(at[j : j + step][:, None], v.shape)
+                keep = (v & low) == part if cut else slice(None)
+                variants.append(v[keep].ravel())
+                rows.append(r[keep].ravel())
+        v, r = np.concatenate(variants), np.concatenate(rows)
+        order = np.argsort(v, kind="stable")
+        v, r = v[order], r[order]
+        same = v[1:] == v[:-1]
+        met = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        bucket, r = v[met], r[met]
+        pending = np.ones(len(r), bool)
+        while len(r):
+            start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            size = np.diff(np.append(start, len(r)))
+            lead = np.minimum.reduceat(np.where(pending, np.arange(len(r)), len(r)), start)
+            of = r[np.repeat(lead, size)]
+            d = np.zeros(len(r), np.int64)
+            for word in words.T:
+                d += np.bitwise_count(word[r] ^ word[of])
+            near = np.flatnonzero((d <= far) & (node[r] != node[of]))
+            yield r[near], of[near], d[near]
+            pending &= d > tight
+            pending[lead] = False
+            more = np.repeat(np.add.reduceat(pending, start, dtype=np.int64) > 0, size)
+            bucket, r, pending = bucket[more], r[more], pending[more]
+
+
+def _met(nodes: DataFrame, columns: list[str], parts: Callable[[np.ndarray, int], list[np.ndarray]], take: Callable[..., dict[str, np.ndarray]], schema: str, far: int, tight: int) -> DataFrame:
+    """``take`` of the meetings of each prefix: every fingerprint of ``nodes`` (node, sketch) goes, with its
+    ``parts``, to each prefix that a variant of it within NEAR // 2 bits has."""
+    half = NEAR // 2
+    per = sum(math.comb(WIDE, k) for k in range(half + 1))
+    key = min(24, max(4, math.ceil(math.log2(max(1, nodes.count() * per / SLICE)) + 1)))
+    outer = _masks(range(WIDE - key, WIDE), half)
+    inner = [_masks(range(WIDE - key), k) for k in range(half + 1)]
+    shift, low = np.uint64(WIDE - key), np.uint64((1 << WIDE) - 1)
+    names = ["prefix", "node", "block", *(c.split()[0] for c in columns)]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            for k in range(BLOCKS):
+                block = words[:, k // 2] >> np.uint64(WIDE * (k % 2)) & low
+                sent = [pa.array(block.astype(np.uint32).view(np.int32)), *(pa.array(w.view(np.int64)) for w in parts(words, k))]
+                for mask in outer:
+                    prefix = pa.array((((block ^ mask) >> shift) | np.uint64(k << key)).astype(np.int32))
+                    yield pa.record_batch([prefix, batch.column(0), *sent], names=names)
+
+    def close(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        prefix, ids, block, *rest = (np.concatenate(x) for x in zip(*held))
+        block = block.view(np.uint32).astype(np.uint64)
+        moved = block & np.uint64((1 << (WIDE - key)) - 1) | (prefix.astype(np.uint64) << shift)
+        words = np.stack([w.view(np.uint64) for w in rest], axis=1) if len(rest) > 1 else np.stack((block, rest[0].view(np.uint64)), axis=1)
+        near = _meetings(words, ids, moved, np.bitwise_count(moved & low ^ block), inner, far, tight)
+        return pa.record_batch({k: pa.array(v) for k, v in take(ids, moved >> np.uint64(WIDE), near).items()})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from by_prefix(batches, close)
+
+    sent = nodes.select("node", "sketch").mapInArrow(send, ", ".join(["prefix int, node long, block int", *columns]))
+    return sent.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(meet, schema).distinct()
+
+
+def _anybody(ids: np.ndarray, block: np.ndarray, near: Iterator[tuple[np.ndarray, ...]]) -> dict[str, np.ndarray]:
+    """The nodes that have a near one."""
+    met = np.zeros(len(ids), bool)
+    for a, b, _ in near:
+        met[a] = met[b] = True
+    return {"node": np.unique(ids[met])}
+
+
+def _closest(ids: np.ndarray, block: np.ndarray, near: Iterator[tuple[np.ndarray, ...]]) -> dict[str, np.ndarray]:
+    """The closest links, a forest for each fingerprint, so that one's links hide no other's."""
+    names, node = np.unique(ids, return_inverse=True)
+    code, node = np.unique(node.astype(np.uint64) * np.uint64(BLOCKS) + block, return_inverse=True)
+    held, size = [(np.zeros(0, np.int64),) * 3], 0
+    for a, b, d in near:
+        held.append((node[a], node[b], d))
+        size += len(a)
+        if size > SLICE:
+            held, size = [_closest_forest(*map(np.concatenate, zip(*held)), len(code))], 0
+    a, b, _ = _closest_forest(*map(np.concatenate, zip(*held)), len(code))
+    a, b = (names[code[x] // np.uint64(BLOCKS)] for x in (a, b))
+    pairs = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b))), axis=1)
+    return {"a": pairs[0], "b": pairs[1]}
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Distinct (a, b), a > b: pairs of ``nodes`` (node, sketch) to be verified.
+
+    Balls meet twice: first with 64 further bits only, to find the texts that have
+    any near one, then those alone with their whole sketches, of whose links a
+    task keeps a forest of the closest.  So few bytes are shuffled for most
+    texts, and the pairs of a group grow with its size, not with its square.
+    """
+    some = _met(nodes, ["rest long"], lambda words, k: [words[:, (k // 2 + 1) % words.shape[1]]], _anybody, "node long", FAR, TIGHT)
+    left = stash(nodes.join(some, "node", "left_semi"), "met-sketches")
+    columns = [f"w{k} long" for k in range(len(_TIMES))]
+    return _met(left, columns, lambda words, k: list(words.T), _closest, "a long, b long", WHOLE_FAR, WHOLE_TIGHT)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose whole shingle sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            keep = []
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if b != last:
+                    last, left = b, shingles(y.as_py(), width)
+                right = shingles(x.as_py(), width)
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(both >= similarity * (len(left) + len(right) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    of_a = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    of_b = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b), a > b: links between 64-bit hashes of normal texts of Jaccard ``similarity`` or more.
+
+    Ball hashing proposes pairs and the whole sets of ``width``-word shingles
+    decide them.  Exact copies share a hash and need no link.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sketch(shingles(t.as_py(), width)).view(np.int64) for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["node", "sketch"])
+
+    plain = docs.select(normal(F.col(f"`{text_col}`")).alias("text")).select(F.xxhash64("text").alias("node"), "text")
+    signed = plain.where("text <> ''").mapInArrow(run, "node long, sketch array<long>")
+    nodes = stash(signed.groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
+    pairs = stash(candidates(nodes), "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = stash(plain.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
+    return _verified(pairs, texts, width, similarity)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that with the smallest id.
+
+    Texts with the same words are copies; others link if their sets of
+    ``width``-word shingles have a Jaccard similarity of ``similarity`` or more,
+    and groups are what links connect.  Null and wordless texts are copies of
+    each other; a null id is replaced by a negative one made from the text; rows
+    that share an id but not their text are told apart; of repeated rows one
+    stays; an empty table stays empty.  Columns are those of ``docs``, whatever
+    their names.
     """
-    key, same, rank = free_name(docs, "_key", "_same", "_rank")
-    classes = near_duplicates(docs, id_col, text_col, width, radius)
-    stay = classes.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.withColumn(key, id_or_digest(id_col, text_col)).join(stay, key, "left_semi")
-    kept = kept.withColumn(same, F.xxhash64(text_col))
-    return kept.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(same))).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    node, key, same, rank = free_name(docs, "_node", "_key", "_same", "_rank")
+    group = components(similar(docs, text_col, width, similarity))
+    text = F.col(f"`{text_col}`")
+    own = docs.select(F.xxhash64(normal(text)).alias("node"), id_or_digest(id_col, text_col).alias("id"))
+    first = own.groupBy("node").agg(F.min("id").alias("id"))
+    first = first.join(group.withColumnRenamed("a", "node"), "node", "left").groupBy(F.coalesce("b", "node").alias("b")).agg(F.min(F.struct("id", "node")).alias("s"))
+    stay = stash(first.select(F.col("s.id").alias(key), F.col("s.node").alias(node)), "stay")
+    kept = docs.withColumn(key, id_or_digest(id_col, text_col)).withColumn(node, F.xxhash64(normal(text))).join(stay, [key, node], "left_semi")
+    kept = kept.withColumn(same, F.xxhash64(text))
+    return kept.withColumn(rank, F.row_number().over(Window.partitionBy(key, node).orderBy(same))).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
