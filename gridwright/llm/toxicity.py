@@ -1,13 +1,15 @@
-"""Toxicity by a subsequence string-kernel SVM with Nystrom landmarks.
-
-A word is compared with landmark words by the gap-weighted subsequence kernel:
-common character triples count, gapped ones less, so an insult with inserted or
-missing characters stays close to the plain one.  Sentences of labelled
-documents train the machine: a sentence of a toxic document is positive if it
-has a word that toxic documents use far more often (its witness), a sentence of
-a clean document gives negatives.  The machine is linear in kernel values, so it
-collapses into one table over triples and a word costs a few table look-ups.
-A document's score comes from its words' decisions by a logistic regression.
+"""Toxicity by a subsequence string-kernel SVM with Nystrom landmarks, trained on sentences.
+
+Strings are compared by the gap-weighted subsequence kernel: common character
+triples count, gapped ones less, so an insult with inserted or missing characters
+stays close to the plain one.  The training rows are the sentences of labelled
+documents, each with its document's label.  Most sentences of a toxic document
+are harmless, so the machine is fitted in rounds: first on kernel values of whole
+sentences; then each sentence is represented by its span of the highest decision,
+as in multiple-instance learning, and weighs as much as that span tells toxic
+sentences from clean ones.  The machine is linear in kernel values and collapses
+into one table over triples.  A sentence's decision is that of its highest span;
+a document's score comes from its sentences' decisions by a logistic regression.
 """
 
 from __future__ import annotations
@@ -24,15 +26,16 @@ from pyspark.sql import functions as F
 
 from .common import free_name, one_blas_thread, stash
 
-ALPHABET = 64  # 0 pads, 1 opens, 2 closes, 3 is any rarer letter
+#: Triples of any characters are hashed to so many bits: the size of the model, 4 MB.
+BITS = 20
 GAPS = (1, 2, 3)
 DECAY = 0.5
 LONGEST = 24  # a longer word is read in overlapping windows of this many letters
 CACHE = 400_000
-#: Likelihood ratio from which a word tells toxic sentences from clean ones.
-TELLING = 16.0
-#: And how many times as often, by sentences, toxic ones must have it.
-ODDS = 6.0
+#: Sentences whose triples are held at once.
+CHUNK = 200
+#: Deviations by which the number of toxic documents with a span is lowered: one document's words don't tell.
+DOUBT = 2.0
 RIDGE = 1e-4
 
 _NOISE = re.compile(r"[^\w\s]|[\d_]")
@@ -40,111 +43,158 @@ _SPELLED = re.compile(r"(?<!\S)\w(?:[^\S\n]\w){3,}(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.?])\s|\n")
 
 
-def words(text: str | None) -> list[str]:
-    """Lower-case words without digits and signs; letters spelled out one by one are joined."""
-    bare = _NOISE.sub("", (text or "").lower())
+def sentences(text: str | None) -> list[list[str]]:
+    """Sentences as lower-case words without digits and signs; letters spelled out one by one are also joined."""
+    bare = _NOISE.sub("", _SENTENCE.sub("\n", (text or "").lower()))
     bare = _SPELLED.sub(lambda m: re.sub(r"\s", "", m[0]) + " " + m[0], bare)
-    return bare.split()
+    return [own for line in bare.split("\n") if (own := line.split())]
 
 
 def windows(word: str) -> list[str]:
+    """The spans of a word: itself, or overlapping windows of a long one."""
     if len(word) <= LONGEST:
         return [word]
     return [word[k : k + LONGEST] for k in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
 
 
-class Triples:
-    """Characters to codes, words to gap-weighted triples."""
-
-    def __init__(self, letters: str):
-        self.letters = letters[: ALPHABET - 4]
-        self.map = np.full(0x110000, 3, np.uint8)
-        for k, c in enumerate(self.letters):
-            self.map[ord(c)] = k + 4
-
-    def codes(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(word, place) arrays of triple codes (0: none) and their weights."""
-        width = max(map(len, some)) + 2
-        grid = np.zeros((len(some), width + 2 * max(GAPS)), np.int32)
-        lengths = np.fromiter(map(len, some), np.int64, len(some))
-        flat = self.map[np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        row = np.repeat(np.arange(len(some)), lengths)
-        at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        grid[row, at + 1] = flat
-        grid[:, 0] = 1
-        grid[np.arange(len(some)), lengths + 1] = 2
-        first = grid[:, :width]
-        out, weights = [], []
-        for a in GAPS:
-            second = grid[:, a : a + width]
-            for b in GAPS:
-                third = grid[:, a + b : a + b + width]
-                out.append(np.where((first > 0) & (second > 0) & (third > 0), (first * ALPHABET + second) * ALPHABET + third, 0))
-                weights.append(np.full(width, DECAY ** (a + b - 2), np.float32))
-        return np.concatenate(out, axis=1), np.concatenate(weights)
-
-    def sparse(self, some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Feature rows of unit length: word index, triple code, value."""
-        codes, weights = self.codes(some)
-        row, col = np.nonzero(codes)
-        key = row.astype(np.int64) * ALPHABET**3 + codes[row, col]
-        order = np.argsort(key)
-        key, value = key[order], weights[col[order]].astype(np.float64)
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        value = np.add.reduceat(value, start)
-        key = key[start]
-        row = key // ALPHABET**3
-        norm = np.sqrt(np.bincount(row, value**2, len(some)))
-        return row, key % ALPHABET**3, value / norm[row]
-
-    def decide(self, some: list[str], table: np.ndarray, bias: float) -> np.ndarray:
-        """Decision values; a long word has that of its highest window."""
-        if not some:
-            return np.zeros(0)
-        cut = [windows(w) for w in some]
-        row, code, value = self.sparse([x for c in cut for x in c])
-        one = np.bincount(row, value * table[code], sum(map(len, cut))) + bias
-        return np.maximum.reduceat(one, np.cumsum([0] + [len(c) for c in cut[:-1]]))
+def triples(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(string, place) array of hashed triples, -1 for none, and the weights of the places."""
+    width = max(map(len, some)) + 2
+    grid = np.zeros((len(some), width + 2 * max(GAPS)), np.uint32)
+    lengths = np.fromiter(map(len, some), np.int64, len(some))
+    flat = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(some)), lengths)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    grid[row, at + 1] = flat + 3
+    grid[:, 0] = 1  # opens
+    grid[np.arange(len(some)), lengths + 1] = 2  # closes
+    first = grid[:, :width]
+    out, weights = [], []
+    for a in GAPS:
+        second = grid[:, a : a + width]
+        pair = first * np.uint32(0x9E3779B1) + second
+        for b in GAPS:
+            third = grid[:, a + b : a + b + width]
+            h = pair * np.uint32(0x85EBCA77) + third
+            h = (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - BITS)
+            out.append(np.where((first > 0) & (second > 0) & (third > 0), h.astype(np.int32), -1))
+            weights.append(np.full(width, DECAY ** (a + b - 2)))
+    return np.concatenate(out, axis=1), np.concatenate(weights)
+
+
+def features(some: list[str], owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of unit length: row, triple, value.  ``owner`` gives the row of each string; rows without a string are none."""
+    codes, weights = triples(some)
+    row, col = np.nonzero(codes >= 0)
+    key = (row if owner is None else owner[row]).astype(np.int64) << BITS | codes[row, col]
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], weights[col[order]]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    value, key = np.add.reduceat(value, start), key[start]
+    row = key >> BITS
+    return row, key & ((1 << BITS) - 1), value / np.sqrt(np.bincount(row, value**2))[row]
+
+
+class Landmarks:
+    """Strings that others are compared with; each is a list of spans, a sentence or a single one."""
+
+    def __init__(self, strings: list[list[str]]):
+        self.n = len(strings)
+        row, code, value = features([w for s in strings for w in s], np.repeat(np.arange(self.n), [len(s) for s in strings]))
+        self.codes, at = np.unique(code, return_inverse=True)
+        self.rows = np.zeros((len(self.codes), self.n), np.float32)
+        self.rows[at, row] = value
+
+    def kernel(self, strings: list[list[str]]) -> np.ndarray:
+        """Kernel values of strings with the landmarks."""
+        out = np.zeros((len(strings), self.n), np.float32)
+        for k in range(0, len(strings), CHUNK):
+            some = strings[k : k + CHUNK]
+            row, code, value = features([w for s in some for w in s], np.repeat(np.arange(len(some)), [len(s) for s in some]))
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            hit = np.flatnonzero(self.codes[at] == code)
+            if len(hit):
+                row, at, value = row[hit], at[hit], value[hit].astype(np.float32)
+                start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+                out[k + row[start]] = np.add.reduceat(self.rows[at] * value[:, None], start, axis=0)
+        return out
+
+    def machine(self, kernel: np.ndarray, own: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+        """Table over triples and bias of the machine fitted to ``kernel``; ``own``: the landmarks' among themselves."""
+        power, basis = np.linalg.eigh(own.astype(np.float64))
+        keep = power > 1e-6 * power.max()
+        half = basis[:, keep] / np.sqrt(power[keep])
+        cost = np.where(y > 0, weight / weight[y > 0].sum(), weight / weight[y < 0].sum())
+        w, bias = svm(kernel @ half, y, cost, RIDGE)
+        table = np.zeros(1 << BITS, np.float32)
+        table[self.codes] = self.rows @ (half @ w)
+        return table, float(bias)
+
+
+def decide(some: list[str], table: np.ndarray, bias: float) -> np.ndarray:
+    """Decision values of words; a long word has that of its highest window."""
+    if not some:
+        return np.zeros(0)
+    cut = [windows(w) for w in some]
+    row, code, value = features([x for c in cut for x in c])
+    one = np.bincount(row, value * table[code], sum(map(len, cut))) + bias
+    return np.maximum.reduceat(one, np.cumsum([0] + [len(c) for c in cut[:-1]]))
+
+
+def highest(word: str, table: np.ndarray, bias: float) -> str:
+    """The span of a word that has its decision."""
+    cut = windows(word)
+    return cut[int(np.argmax(decide(cut, table, bias)))] if len(cut) > 1 else word
+
+
+class Decisions:
+    """Decisions of words, remembered."""
+
+    def __init__(self, table: np.ndarray, bias: float):
+        self.table, self.bias, self.known = table, bias, {}
+
+    def learn(self, some: dict[str, None]) -> None:
+        new = [w for w in some if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = list(some)
+        for k in range(0, len(new), 20_000):
+            self.known.update(zip(new[k : k + 20_000], decide(new[k : k + 20_000], self.table, self.bias).tolist()))
 
 
 @dataclass
 class Model:
-    """What scoring needs; about 1 MB, whatever the corpus."""
+    """What scoring needs; 4 MB, whatever the corpus."""
 
-    letters: str
     table: np.ndarray
     bias: float
     weights: np.ndarray
     centre: np.ndarray
     spread: np.ndarray
 
-    def features(self, texts: list[str | None], cache: dict[str, float], triples: Triples) -> np.ndarray:
-        """Per document: three highest word decisions, log of positive words, their share."""
-        own = [list(dict.fromkeys(words(t))) for t in texts]
-        new = [w for w in dict.fromkeys(w for ws in own for w in ws) if w not in cache]
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list(dict.fromkeys(w for ws in own for w in ws))
-        for k in range(0, len(new), 20_000):
-            cache.update(zip(new[k : k + 20_000], triples.decide(new[k : k + 20_000], self.table, self.bias).tolist()))
+    def features(self, texts: list[str | None], known: Decisions) -> np.ndarray:
+        """Per document: three highest sentence decisions, log of the positive ones, their share."""
+        own = [sentences(t) for t in texts]
+        known.learn(dict.fromkeys(w for said in own for s in said for w in s))
         out = np.full((len(own), 5), -1.0)
         out[:, 3:] = 0
-        for r, ws in enumerate(own):
-            if ws:
-                d = np.fromiter(map(cache.__getitem__, ws), np.float64, len(ws))
+        for r, said in enumerate(own):
+            if said:
+                one = np.fromiter((known.known[w] for s in said for w in s), np.float64)
+                d = np.maximum.reduceat(one, np.cumsum([0] + [len(s) for s in said[:-1]]))
                 top = -np.partition(-d, min(2, len(d) - 1))[:3]
                 top = -np.sort(-top)
                 out[r, : len(top)] = np.maximum(top, -1.0)
                 on = int((d > 0).sum())
-                out[r, 3:] = math.log1p(on), math.log1p(100 * on / len(ws))
+                out[r, 3:] = math.log1p(on), math.log1p(100 * on / len(d))
         return out
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        x = (features - self.centre) / self.spread
+    def score(self, x: np.ndarray) -> np.ndarray:
+        x = (x - self.centre) / self.spread
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
+def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
     """Primal L2 support vector machine by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -161,7 +211,7 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float) -> tuple[
     return w[:-1], w[-1]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     eye = ridge * np.eye(x.shape[1])
@@ -175,106 +225,134 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def machine(witness: list[tuple[str, int, int]], usual: list[tuple[str, int, int]], landmarks: int) -> Model:
-    """The word machine from (word, toxic sentences, clean sentences) of either kind."""
-    letters: dict[str, int] = {}
-    for word, t, c in [*usual, *witness]:
-        for x in word:
-            letters[x] = letters.get(x, 0) + t + c
-    triples = Triples("".join(sorted(letters, key=lambda x: (-letters[x], x))))
-    strings = [w[:LONGEST] for w, _, _ in [*witness, *usual]]
-    y = np.array([1.0] * len(witness) + [-1.0] * len(usual))
-    row, code, value = triples.sparse(strings)
-    # Landmarks: the strongest witnesses and the usual words most like any of them.
-    n_pos = min(len(witness), landmarks // 2)
-    pull = np.zeros(ALPHABET**3)
-    at = row < len(witness)
-    np.add.at(pull, code[at], value[at])
-    near = np.bincount(row, value * pull[code], len(strings))[len(witness) :]
-    marks = [*range(n_pos), *(len(witness) + np.argsort(-near, kind="stable")[: landmarks - n_pos])]
-    kernel = np.zeros((len(strings), len(marks)))
-    dense = np.zeros(ALPHABET**3)
-    starts = np.searchsorted(row, np.arange(len(strings) + 1))
-    for j, m in enumerate(marks):
-        part = slice(starts[m], starts[m + 1])
-        dense[code[part]] = value[part]
-        kernel[:, j] = np.bincount(row, value * dense[code], len(strings))
-        dense[code[part]] = 0
-    power, basis = np.linalg.eigh(kernel[marks])
-    keep = power > 1e-6 * power.max()
-    half = basis[:, keep] / np.sqrt(power[keep])
-    weight = np.sqrt([float(t + c) for _, t, c in [*witness, *usual]])
-    cost = np.where(y > 0, weight / weight[y > 0].sum(), weight / max(1e-9, weight[y < 0].sum()))
-    w, bias = _svm(kernel @ half, y, cost, RIDGE)
-    beta = half @ w
-    table = np.zeros(ALPHABET**3)
-    for j, m in enumerate(marks):
-        part = slice(starts[m], starts[m + 1])
-        np.add.at(table, code[part], beta[j] * value[part])
-    return Model(triples.letters, table, float(bias), np.zeros(6), np.zeros(5), np.ones(5))
-
-
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", most_words: int = 12_000, landmarks: int = 300) -> Model | None:
-    """Fit on ``labelled`` (text, 0/1); None where one of the classes is missing.
-
-    Reaching the driver: at most ``most_words`` words with counts and five
-    numbers a labelled row; bound the rows before (see ``sample``).
+def _said(rows: DataFrame, most: int) -> DataFrame:
+    """(h, words, label, doc): the distinct sentences of ``rows`` (text, label), at most ``most`` of each label by their hash.
+
+    A sentence that clean documents have too is clean; copies count once and belong to one document.
     """
-    one_blas_thread()
-    spark = labelled.sparkSession
 
-    def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, w, y, doc = [], [], [], []
+            for text, label, key in zip(*(c.to_pylist() for c in batch.columns)):
+                for own in sentences(text):
+                    h.append(" ".join(own))
+                    w.append(list(dict.fromkeys(own)))
+                    y.append(label)
+                    doc.append(key)
+            yield pa.record_batch([pa.array(h, pa.string()), pa.array(w, pa.list_(pa.string())), pa.array(y, pa.int32()), pa.array(doc, pa.int64())], names=["h", "words", "label", "doc"])
+
+    said = rows.select("text", "label", F.xxhash64("text").alias("doc")).mapInArrow(cut, "h string, words array<string>, label int, doc long")
+    said = stash(said.groupBy(F.xxhash64("h").alias("h")).agg(F.min("label").alias("label"), F.min("doc").alias("doc"), F.first("words").alias("words")), "said")
+    kept = [said.where(F.col("label") == y).orderBy("h").limit(most) for y in (1, 0)]
+    return stash(kept[0].union(kept[1]), "said")
+
+
+def _whole(said: DataFrame, most: int, landmarks: int) -> tuple[np.ndarray, float]:
+    """The machine of kernel values of whole sentences, at most ``most`` of each label."""
+    some = [said.where(F.col("label") == y).orderBy("h").limit(most) for y in (1, 0)]
+    some = stash(some[0].union(some[1]).select("words", "label", "h"), "said")
+    marks = [r["words"] for y in (1, 0) for r in some.where(F.col("label") == y).orderBy("h").select("words").limit(landmarks // 2).collect()]
+    ground = Landmarks([[x for w in s for x in windows(w)] for s in marks])
+    shared = said.sparkSession.sparkContext.broadcast(ground)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, w, y = [], [], []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for sentence in _SENTENCE.split(text or ""):
-                    own = list(dict.fromkeys(words(sentence)))
-                    if own:
-                        h.append(" ".join(own))
-                        w.append(own)
-                        y.append(label)
-            yield pa.record_batch([pa.array(h, pa.string()), pa.array(w, pa.list_(pa.string())), pa.array(y, pa.int32())], names=["h", "words", "label"])
-
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    # Distinct sentences: copies of a document would make any of its words look telling.
-    said = rows.mapInArrow(sentences, "h string, words array<string>, label int").groupBy(F.xxhash64("h").alias("h")).agg(F.min("label").alias("label"), F.first("words").alias("words"))
-    said = stash(said.select("label", "words"), "toxic-sentences")
+            k = shared.value.kernel([[x for w in s for x in windows(w)] for s in batch.column(0).to_pylist()])
+            yield pa.record_batch([batch.column(1), pa.array(list(k), pa.list_(pa.float32()))], names=["label", "row"])
+
+    got = some.mapInArrow(compare, "label int, row array<float>").toArrow()
+    y = np.where(got.column(0).to_numpy() > 0, 1.0, -1.0)
+    kernel = got.column(1).combine_chunks().flatten().to_numpy().reshape(len(y), ground.n)
+    return ground.machine(kernel, ground.kernel([[x for w in s for x in windows(w)] for s in marks]), y, np.ones(len(y)))
+
+
+def _spans(said: DataFrame, table: np.ndarray, bias: float) -> DataFrame:
+    """(span, toxic, clean, docs): the highest spans of sentences, with the number of sentences and toxic documents."""
+    shared = said.sparkSession.sparkContext.broadcast((table, bias))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Decisions(*shared.value)
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            known.learn(dict.fromkeys(w for s in own for w in s))
+            span = [highest(max(s, key=known.known.__getitem__), *shared.value) for s in own]
+            yield pa.record_batch([pa.array(span, pa.string()), batch.column(1), batch.column(2)], names=["span", "label", "doc"])
+
+    found = said.select("words", "label", "doc").mapInArrow(best, "span string, label int, doc long")
+    found = found.groupBy("span", "doc").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
+    return found.groupBy("span").agg(F.sum("t").alias("toxic"), F.sum("c").alias("clean"), F.count(F.when(F.col("t") > 0, 1)).alias("docs"))
+
+
+def _refit(spans: list[tuple[str, float, float]], landmarks: int) -> tuple[np.ndarray, float]:
+    """The machine of (span, weight among toxic, among clean sentences): one row a span and label, weighing as its sentences."""
+    toxic = sorted(((s, t) for s, t, _ in spans if t > 0), key=lambda x: (-x[1], x[0]))
+    clean = sorted(((s, c) for s, _, c in spans if c > 0), key=lambda x: (-x[1], x[0]))
+    strings = [[s] for s, _ in toxic + clean]
+    y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
+    weight = np.array([w for _, w in toxic + clean])
+    # Landmarks: the heaviest toxic spans and the clean ones most like them.
+    first = Landmarks(strings[: min(len(toxic), landmarks // 2)])
+    near = first.kernel(strings[len(toxic) :]) @ weight[: first.n]
+    marks = strings[: first.n] + [strings[len(toxic) + k] for k in np.argsort(-near, kind="stable")[: landmarks - first.n]]
+    ground = Landmarks(marks)
+    return ground.machine(ground.kernel(strings), ground.kernel(marks), y, weight)
+
+
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", most_sentences: int = 60_000, landmarks: int = 200, rounds: int = 3) -> Model | None:
+    """Fit on ``labelled`` (text, 0/1); None where one of the classes has no sentence.
+
+    The sample is bounded: at most ``most_sentences`` distinct sentences of either
+    label, by their hash, a fifth of them in the first fit.  What reaches the
+    driver is bounded by that: kernel rows of the first fit, then one row for each
+    span that represents clean sentences or tells toxic ones, and five numbers for
+    each row of ``labelled``; bound those before (see ``sample``).  Null and
+    wordless texts have no sentence; repeated rows count as one.
+    """
+    one_blas_thread()
+    rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label")).where("label is not null")
+    said = _said(rows, most_sentences)
     total = said.agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).first()
     toxic = total["toxic"] or 0
     clean = total["n"] - toxic
     if not toxic or not clean:
         return None
-    share = toxic / total["n"]
-    df = said.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-    n = F.col("t") + F.col("c")
-    term = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * p))).otherwise(0.0)
-    ratio = 2 * (term("t", share) + term("c", 1 - share))
-    df = stash(df.withColumn("ratio", F.when(F.col("t") > n * share, ratio).otherwise(-ratio)), "toxic-words")
-    telling = (F.col("ratio") >= TELLING) & (F.col("t") * (1 - share) >= ODDS * F.col("c") * share)
-    witness = df.where(telling).orderBy(F.desc("ratio"), "word").limit(most_words // 4).collect()
-    if not witness:
-        witness = df.where("ratio > 0").orderBy(F.desc("ratio"), "word").limit(20).collect()
-    usual = df.where(F.col("ratio") < TELLING / 3).where("c > 0").orderBy(F.desc("c"), "word").limit(most_words - len(witness)).collect()
-    model = machine([(r["word"], r["t"], r["c"]) for r in witness], [(r["word"], r["t"], r["c"]) for r in usual], landmarks)
-    shared = spark.sparkContext.broadcast(model)
+    table, bias = _whole(said, max(1, most_sentences // 5), landmarks)
+    # How far a span's share of toxic sentences, lowered by its doubt, exceeds its share of clean ones.
+    least = F.col("toxic") / toxic * (1 - DOUBT / F.sqrt(F.greatest("docs", F.lit(1))))
+    tells = F.when(least > 0, F.greatest(F.lit(0.0), 1 - (F.col("clean") + 1) / clean / least)).otherwise(0.0)
+    for _ in range(rounds):
+        found = stash(_spans(said, table, bias).withColumn("weight", F.col("toxic") * tells), "spans")
+        some = found.where("weight > 0 or clean > 0").select("span", "weight", "clean").collect()
+        if not any(r["weight"] > 0 for r in some):  # too few documents to tell: every sentence as labelled
+            some = found.select("span", F.col("toxic").cast("double").alias("weight"), "clean").collect()
+        if not any(r["clean"] > 0 for r in some):
+            break
+        table, bias = _refit([tuple(r) for r in some], landmarks)
+    model = Model(table, bias, np.zeros(6), np.zeros(5), np.ones(5))
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = shared.value, {}
-        t = Triples(m.letters)
+        m = shared.value
+        known = Decisions(m.table, m.bias)
         for batch in batches:
-            x = m.features(batch.column(0).to_pylist(), cache, t)
+            x = m.features(batch.column(0).to_pylist(), known)
             yield pa.record_batch([*(pa.array(c) for c in x.T), batch.column(1)], names=["a", "b", "c", "d", "e", "y"])
 
     got = rows.mapInArrow(featured, "a double, b double, c double, d double, e double, y int").toArrow()
     x = np.column_stack([got.column(k).to_numpy() for k in range(5)])
     label = got.column(5).to_numpy().astype(float)
     model.centre, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    model.weights = _logistic((x - model.centre) / model.spread, label)
+    model.weights = logistic((x - model.centre) / model.spread, label)
     return model
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int = 20_000) -> DataFrame:
-    """(text, label) of at most ``most`` labelled rows, drawn by a hash of the id; ``docs`` isn't shuffled."""
+    """(text, label) of at most ``most`` labelled rows, drawn by a hash of the id; ``docs`` isn't shuffled.
+
+    Null ids and null labels take no part; of repeated labels the highest counts;
+    rows of ``docs`` that share an id all take its label; empty tables give none.
+    """
     drawn = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("label"))
     drawn = drawn.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return stash(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "label"), "labelled")
@@ -293,12 +371,12 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_co
     schema = docs.withColumn(score_col, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = shared.value, {}
-        t = Triples(m.letters)
+        m = shared.value
+        known = Decisions(m.table, m.bias)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                s = m.score(m.features(part.column(at).to_pylist(), cache, t))
+                s = m.score(m.features(part.column(at).to_pylist(), known))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], names=[*part.schema.names, score_col])
 
     return docs.mapInArrow(run, schema)

@@ -354,13 +354,85 @@ def test_isotonic():
     assert classifier.isotonic(np.array([1.0, 3.0, 2.0, 4.0]), np.ones(4)).tolist() == [1, 2.5, 2.5, 4]
 
 
+def plain_triples(word):
+    """Gap-weighted character triples of a word, with its ends."""
+    own, out = ["<", *word, ">"], {}
+    for x in range(len(own)):
+        for y in range(x + 1, min(x + 4, len(own))):
+            for z in range(y + 1, min(y + 4, len(own))):
+                key = own[x], own[y], own[z]
+                out[key] = out.get(key, 0) + 0.5 ** (z - x - 2)
+    return out
+
+
+def plain_kernel(a, b):
+    dot = lambda x, y: sum(v * y.get(k, 0) for k, v in x.items())
+    sums = []
+    for side in (a, b):
+        total = {}
+        for word in side:
+            for k, v in plain_triples(word).items():
+                total[k] = total.get(k, 0) + v
+        sums.append(total)
+    return dot(*sums) / math.sqrt(dot(sums[0], sums[0]) * dot(sums[1], sums[1]))
+
+
+SAID = ["you are an idiot", "what a woorthless thing", "trash and nothing else", "ein wörtchen über alles", "the other water", "一 事實 勝 於 雄辯", "of this and that", "worth more than less", "и это всё", "no"]
+
+
+def test_kernel_by_brute_force():
+    strings = [x.split() for x in SAID]
+    got = toxicity.Landmarks(strings).kernel(strings)
+    want = [[plain_kernel(a, b) for b in strings] for a in strings]
+    off = np.abs(got - np.array(want))
+    assert (off > 1e-5).mean() < 0.05 and off.max() < 0.02  # triples are hashed to 20 bits: a few share one
+
+
+def test_machine_is_the_exact_kernel_machine():
+    """With every string as a landmark, decisions are those of the dual machine on the plain kernel."""
+    strings = [[w] for w in dict.fromkeys(" ".join(SAID).split())]
+    y = np.array([1.0 if w[0] in ("idiot", "woorthless", "trash") else -1.0 for w in strings])
+    weight = np.arange(1.0, len(y) + 1)
+    ground = toxicity.Landmarks(strings)
+    table, bias = ground.machine(ground.kernel(strings), ground.kernel(strings), y, weight)
+    cost = np.where(y > 0, weight / weight[y > 0].sum(), weight / weight[y < 0].sum())
+    kernel = np.array([[plain_kernel(a, b) for b in strings] for a in strings]) + toxicity.RIDGE / 1e-6  # the bias, as a constant
+    active = np.ones(len(y), bool)
+    for _ in range(40):
+        alpha = np.linalg.solve(kernel[np.ix_(active, active)] + toxicity.RIDGE * np.diag(1 / cost[active]), y[active])
+        f = kernel[:, active] @ alpha
+        if np.array_equal(y * f < 1, active):
+            break
+        active = y * f < 1
+    assert np.abs(toxicity.decide([w[0] for w in strings], table, bias) - f).max() < 0.01
+
+
 def test_gapped_insults_stay_close():
-    bad = [("worthless", 50, 0), ("idiot", 50, 0), ("moron", 50, 0)]
-    usual = [(w, 1, 30) for w in "the and of ering thing other north under worth less about there which would water".split()]
-    m = toxicity.machine(bad, usual, 18)
-    d = dict(zip(["worthless", "woorthless", "wortless", "idioot", "other", "water"], toxicity.Triples(m.letters).decide(["worthless", "woorthless", "wortless", "idioot", "other", "water"], m.table, m.bias)))
+    usual = "the and of ering thing other north under worth less about there which would water".split()
+    table, bias = toxicity._refit([(w, 50.0, 0.0) for w in ("worthless", "idiot", "moron")] + [(w, 0.0, 30.0) for w in usual], 18)
+    names = ["worthless", "woorthless", "wortless", "idioot", "other", "water"]
+    d = dict(zip(names, toxicity.decide(names, table, bias)))
     assert min(d["worthless"], d["woorthless"], d["wortless"], d["idioot"]) > max(d["other"], d["water"])
-    assert "idiot" in toxicity.words("an i d i o t here") and toxicity.words(None) == []
+    assert "idiot" in toxicity.sentences("an i d i o t here")[0] and toxicity.sentences(None) == toxicity.sentences(" 1 2 _") == []
+    assert toxicity.sentences("One two. Three\nfour") == [["one", "two"], ["three"], ["four"]]
+    assert toxicity.highest("x" * 40 + "idiot", table, bias).endswith("idiot")
+
+
+def test_sentences_learn_their_label(spark):
+    """Toxic sentences in two scripts among harmless ones of the same documents; a long word's end counts too."""
+    rng = np.random.default_rng(5)
+    usual = ["".join(rng.choice(list("aeiourstln"), 5)) for _ in range(120)] + ["слово", "другой", "事情", "天氣"]
+    bad = ["grumbold", "вреднюк", "壞東西"]
+    rows = []
+    for k in range(240):
+        said = [" ".join(rng.choice(usual, 8)) for _ in range(6)]
+        if k % 3 == 0:
+            said[k % 6] += " " + bad[k // 3 % 3]
+        rows.append((". ".join(said), int(k % 3 == 0)))
+    model = toxicity.train(spark.createDataFrame(rows, "text string, label int"))
+    texts = [(k, " ".join(rng.choice(usual, 9)) + end) for k, end in enumerate([" grumbold", " grumbolld", " вреднюк", " 壞東西", "", " слово"])]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert min(got[k] for k in range(4)) > 0.5 > max(got[4], got[5])
 
 
 # --- 9: WARC ---
