@@ -9,16 +9,19 @@ format different ones.  Built-in functions only; rows never move.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: What may be personal; each alternative is bounded by look-arounds so that no
 #: longer number or word is cut.  Order matters where two could start together.
 EMAIL = r"(?<![\p{L}0-9._%+-])[\p{L}0-9_%+-](?:[\p{L}0-9._%+-]{0,63})@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}(?![\p{L}0-9-])"
-DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}[-/](?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)[0-9]{2})(?![0-9/-])"
+DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}[-/](?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)[0-9]{2}|(?:0[1-9]|1[0-2])/(?:1[3-9]|2[0-9]|3[01])/(?:19|20)[0-9]{2})(?![0-9/-])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 IBAN = r"(?<![\p{L}0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -44,14 +47,15 @@ def _byte(digest: Column, i: Column) -> Column:
     return F.conv(F.substring(digest, 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _shift(half: Column, digest: Column) -> Column:
-    """Each character moved within its class (digit, lower, upper, two ranges of accented letters)."""
+def _shift(half: Column, digest: Column, never_whole: bool = False) -> Column:
+    """Each character moved within its class (digit, lower, upper, two ranges of accented letters), perhaps by a whole turn."""
 
     def one(c: Column, i: Column) -> Column:
         code, by = F.ascii(c), _byte(digest, i)
         moved = F.when(F.lit(False), c)
         for first, size in ((48, 10), (97, 26), (65, 26), (224, 23), (192, 23)):
-            moved = moved.when((code >= first) & (code < first + size), F.char(F.lit(first) + (code - first + by) % size))
+            step = 1 + by % (size - 1) if never_whole else by
+            moved = moved.when((code >= first) & (code < first + size), F.char(F.lit(first) + (code - first + step) % size))
         return moved.otherwise(c)
 
     return F.when(F.length(half) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.split(half, ""), one), ""))
@@ -71,7 +75,7 @@ def permute_text(s: Column, key: str, label: str) -> Column:
         return F.struct(left.alias("l"), right.alias("r"))
 
     mixed = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda a: F.concat(a["l"], a["r"]))
-    alone = _shift(s, F.lit(f"{1 + sum(key.encode()) % 9:02x}" * 32))
+    alone = _shift(s, _round_hex(key, f"{label}/1", F.lit(0), F.lit("")), never_whole=True)
     return F.when(F.length(s) < 2, alone).otherwise(mixed)
 
 
@@ -128,8 +132,12 @@ def iban_rest(plain: Column) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
+    """Names that differ in case alone keep doing so: the permutation is of the lower-case name."""
     name = F.substring_index(m, "@", 1)
-    return F.concat(permute_text(name, key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    low, high = string.ascii_lowercase, string.ascii_uppercase
+    moved = permute_text(F.translate(name, high, low), key, "email")
+    new = F.zip_with(F.split(moved, ""), F.split(name, ""), lambda a, b: F.when(b.rlike("[A-Z]"), F.translate(a, low, high)).otherwise(a))
+    return F.concat(F.array_join(new, ""), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -141,11 +149,13 @@ def _ip(m: Column, key: str) -> Column:
 
 def _date(m: Column, key: str) -> Column:
     first = m.rlike("^[0-9]{4}")
-    day = F.when(first, F.try_to_date(F.regexp_replace(m, "/", "-"), "yyyy-MM-dd")).otherwise(F.try_to_date(F.regexp_replace(m, "/", "."), "dd.MM.yyyy"))
+    month_first = ~first & (F.substring(m, 4, 2).cast("int") > 12)
+    dotted = F.regexp_replace(m, "/", ".")
+    day = F.when(first, F.try_to_date(F.regexp_replace(m, "/", "-"), "yyyy-MM-dd")).when(month_first, F.try_to_date(dotted, "MM.dd.yyyy")).otherwise(F.try_to_date(dotted, "dd.MM.yyyy"))
     to = F.date_add(F.lit("1900-01-01").cast("date"), permute_grid((F.unix_date(day) - FIRST_DAY).cast("long"), DAYS_A, DAYS_B, key, "date").cast("int"))
     sign = F.when(first, F.substring(m, 5, 1)).otherwise(F.substring(m, 3, 1))
     y, mo, d = (F.date_format(to, p) for p in ("yyyy", "MM", "dd"))
-    return F.when(day.isNull(), m).otherwise(F.when(first, F.concat_ws("", y, sign, mo, sign, d)).otherwise(F.concat_ws("", d, sign, mo, sign, y)))
+    return F.when(day.isNull(), m).otherwise(F.when(first, F.concat_ws("", y, sign, mo, sign, d)).when(month_first, F.concat_ws("", mo, sign, d, sign, y)).otherwise(F.concat_ws("", d, sign, mo, sign, y)))
 
 
 def _card(m: Column, key: str) -> Column:
@@ -250,9 +260,11 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col:
 
     Numbers that fail validation (a Luhn sum, an octet over 255, a date that
     doesn't exist) stay as they are.  Of an address the domain stays, of a phone
-    number the country.  A null text stays null, texts without a find stay
-    untouched, repeated rows come out alike; tables may be empty.  ``count_col``,
-    if given, gets the number of values replaced.
+    number the country.  A slashed date whose middle number is over 12 is read and
+    written month first, others with points or slashes day first.  A null text
+    stays null, texts without a find stay untouched, repeated rows come out alike;
+    tables may be empty.  ``count_col``, if given, gets the number of values
+    replaced; if ``docs`` has a column of that name, the new one's gets a ``_``.
     """
     text = F.col(f"`{text_col}`")
     names = [f"`{c}`" for c in docs.columns]
@@ -264,5 +276,5 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col:
     out = [F.when(F.col("new").isNull(), own).otherwise(merged).alias(c) if c == text_col else F.col("d").getField(c).alias(c) for c in docs.columns]
     if count_col:
         changed = F.aggregate("new", F.lit(0), lambda n, x: n + x["n"])
-        out.append(F.when(F.col("new").isNull(), 0).otherwise(changed).cast("long").alias(count_col))
+        out.append(F.when(F.col("new").isNull(), 0).otherwise(changed).cast("long").alias(free_name(docs, count_col)[0]))
     return df.select(*out)
