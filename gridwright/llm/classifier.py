@@ -13,11 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import one_blas_thread, stash
 
+#: Folds by which scores are calibrated.
+FOLDS = 5
+
 STATS = ["log_words", "mean_word", "upper", "digit", "symbol", "bang", "pipe", "other_mark", "stop", "space", "distinct", "repeat_next", "top_word", "dup_lines", "log_lines", "line_words", "long_words", "short_words", "entropy", "wide"]
 
 _UPPER, _DIGIT, _SYMBOL, _BANG, _PIPE, _STOP, _SPACE, _OTHER = (np.zeros(256, bool) for _ in range(8))
@@ -107,12 +111,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def train(rows: DataFrame, waves: int = 256, width: float = 4.0, ridge: float = 1.0, bins: int = 200, seed: int = 0, parts: int = 32) -> Model | None:
     """Fit on ``rows`` (x, label 0/1), a stashed table; None without rows of both labels.
 
-    All rows are used.  ``parts`` tasks each sum one matrix of (waves+1) squared
-    numbers, and only those sums and ``bins`` counts reach the driver.
+    All rows are used.  Every task sums one matrix of (waves+1) squared numbers
+    a fold, ``parts`` tasks a fold sum those, and only their sums and ``bins`` counts reach
+    the driver.  For calibration a row is scored by the weights of the other
+    folds; the final weights are of all rows.  Equal rows are in one fold.
     """
     one_blas_thread()
     spark = rows.sparkSession
-    rows = rows.select("x", F.col("label").cast("double").alias("label"))
+    rows = rows.select("x", F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64("x"), F.lit(FOLDS)).cast("int").alias("fold"))
     n_stats = len(STATS)
     cols = [F.avg(F.col("x")[k]).alias(f"m{k}") for k in range(n_stats)] + [F.stddev_pop(F.col("x")[k]).alias(f"s{k}") for k in range(n_stats)]
     got = rows.agg(F.count("*").alias("n"), F.sum("label").alias("ones"), *cols).first()
@@ -125,25 +131,36 @@ def train(rows: DataFrame, waves: int = 256, width: float = 4.0, ridge: float =
     shared = spark.sparkContext.broadcast(model)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        total = np.zeros((waves + 1, waves + 2))
+        m, total = shared.value, {}
+        for batch in batches:
+            f, y, fold = m.features(_matrix(batch.column(0))), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            for k in np.unique(fold).tolist():
+                own = f[fold == k]
+                total[k] = total.get(k, 0) + np.column_stack((own.T @ own, own.T @ y[fold == k]))
+        task = TaskContext.get().partitionId()
+        yield pa.record_batch([pa.array([task % parts] * len(total), pa.int32()), pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "fold", "s"])
+
+    def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((waves + 1) * (waves + 2))
         for batch in batches:
-            f = m.features(_matrix(batch.column(0)))
-            total[:, :-1] += f.T @ f
-            total[:, -1] += f.T @ batch.column(1).to_numpy(zero_copy_only=False)
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["s"])
-
-    total = np.zeros((waves + 1, waves + 2))
-    for r in rows.coalesce(parts).mapInArrow(sums, "s binary").toLocalIterator():
-        total += np.frombuffer(r["s"]).reshape(total.shape)
+            for one in batch.column(2):
+                total += np.frombuffer(one.as_py())
+        yield pa.record_batch([pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["fold", "s"])
+
+    total = np.zeros((FOLDS, waves + 1, waves + 2))
+    summed = rows.mapInArrow(sums, "part int, fold int, s binary").groupBy("part", "fold").applyInArrow(added, "fold int, s binary")
+    for r in summed.toLocalIterator():
+        total[r["fold"]] += np.frombuffer(r["s"]).reshape(waves + 1, waves + 2)
     penalty = ridge * np.eye(waves + 1)
     penalty[-1, -1] = 1e-6
-    model.weights = np.linalg.solve(total[:, :-1] + penalty, total[:, -1])
-    shared = spark.sparkContext.broadcast(model)
+    solved = lambda t: np.linalg.solve(t[:, :-1] + penalty, t[:, -1])
+    model.weights = solved(total.sum(axis=0))
+    others = spark.sparkContext.broadcast(np.stack([solved(total.sum(axis=0) - t) for t in total], axis=1))
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.clip(shared.value.raw(_matrix(batch.column(0))), -1, 2)
+            raw = shared.value.features(_matrix(batch.column(0))) @ others.value
+            raw = np.clip(raw[np.arange(len(raw)), batch.column(2).to_numpy(zero_copy_only=False)], -1, 2)
             yield pa.record_batch([pa.array(np.floor((raw + 1) / 3 * bins).astype(np.int32)), pa.array(raw), batch.column(1)], names=["bin", "raw", "label"])
 
     counts = rows.mapInArrow(binned, "bin int, raw double, label double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("raw").alias("raw"), F.avg("label").alias("y")).orderBy("bin").collect()
@@ -179,5 +196,6 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", hel
     return score(stats, model).select("doc_id", F.coalesce(held_out(F.col("doc_id"), held_out_every), F.lit(False)).alias("held_out"), "score")
 
 
-def held_out(doc_id, every: int = 5):
+def held_out(doc_id: Column, every: int = 5) -> Column:
+    """Whether a row's labels are for evaluation only; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % every == 0
