@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: Paths of this process's stashed tables, oldest first.
+STASHED: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir; in local mode one of our own where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridwright-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridwright-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
@@ -32,14 +35,20 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    STASHED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Remove this application's stashed tables once their results are consumed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def sweep(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Remove stashed tables once their results are consumed: those from place ``since`` on, but ``keep``'s."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    kept = [] if keep is None else [f.split("://", 1)[-1] for f in keep.inputFiles()]
+    for path in STASHED[since:]:
+        bare = path.split("://", 1)[-1].split(":", 1)[-1]
+        if not any(f"{bare}/" in f for f in kept):
+            at = hadoop.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            STASHED.remove(path)
 
 
 def id_or_digest(id_col: str, text_col: str) -> Column:
