@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "render":
         grids = files.read_csv(spark, a.path, a.recursive).withColumn("doc_id", name("doc_id"))
         parts = generate.random_html(grids, a.seed)
-        render.write_texts(render.document_html(parts, "doc_id"), a.output, "html")
+        render.write_document(parts, a.output, "doc_id")
     elif a.command == "random-edits":
         grids = files.read_csv(spark, a.path)
         ordered = grids.orderBy("doc_id").limit(a.tables) if a.tables > 0 else grids

@@ -79,10 +79,15 @@ def shift_enumerator(row: Column) -> Column:
     return _fold(row, step)
 
 
-def sweep(row: Column) -> Column:
+#: Stands where a sweep has joined two cells by a lone dash; no text of a document holds it.
+JOINED = "\0"
+
+
+def sweep(row: Column, mark: bool = False) -> Column:
     """All rules of the filing cleaner along one row, in their order within each cell.
 
-    Dash ranges that reach upward need the rows above: see operators.clean.
+    Dash ranges that reach upward need the rows above (see operators.clean);
+    ``mark`` leaves JOINED in the cells that took in a dash and what follows it.
     """
     none = F.array().cast("array<string>")
 
@@ -95,7 +100,7 @@ def sweep(row: Column) -> Column:
             left = at(acc, c - 1)
             tail = _tail(acc, c)
             return F.struct(
-                F.when(glued | (dash & ~has_next), F.concat(left, v)).when(dash, F.concat(left, F.lit(" - "), at(acc, c + 1))).otherwise(left).alias("left"),
+                F.when(glued | (dash & ~has_next), F.concat(left, v)).when(dash, F.concat(left, F.lit(JOINED + " - " if mark else " - "), at(acc, c + 1))).otherwise(left).alias("left"),
                 F.when(glued | dash, "").otherwise(C.drop_thousands(C.tighten_paren(C.strip_dot_zero(v)))).alias("cell"),
                 F.when(dash & has_next, F.concat(F.array(F.lit("")), _rest(tail))).otherwise(tail).alias("tail"),
             )

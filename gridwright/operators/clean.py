@@ -70,40 +70,48 @@ def title_rows(grid: Column) -> Column:
     return F.coalesce(other, F.size(grid))
 
 
-def upward_dashes(grids: DataFrame, grid_col: str = "grid") -> DataFrame:
-    """Dash ranges that run down a column: the one rule that writes to rows above.
+def sweep_rows(grids: DataFrame, grid_col: str = "grid") -> DataFrame:
+    """Grids with all rows swept, and dash ranges carried on to the rows above.
 
-    Only grids with a lone dash go through Python, one grid at a time; the others
-    pass by.  The sweep of the rows follows separately, so this kernel also
-    makes the within-row merges of the rows it visits.
+    The sweep itself is a column expression and marks the cells it joins by a
+    lone dash.  Only grids with a mark go through Python, one grid at a time, for
+    the one rule that writes to other rows; the others pass by.
     """
-    has = F.exists(grid_col, lambda r: F.exists(r, lambda v: v == C.DASH))
-    flagged = grids.withColumn("_dash", F.coalesce(has, F.lit(False)))
-    at_ = flagged.columns.index(grid_col)
+    g = F.col(grid_col)
+    kept = [c for c in grids.columns]
+    df = settle(grids, _last=F.coalesce(F.try_element_at(g, F.lit(-1)), F.array().cast("array<string>")), **{grid_col: F.transform(g, lambda r: R.sweep(r, mark=True))})
+    df = df.withColumn("_dash", F.coalesce(F.exists(g, lambda r: F.exists(r, lambda v: v.contains(R.JOINED))), F.lit(False)))
+    place, last = df.columns.index(grid_col), df.columns.index("_last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [merge_upward(g) for g in batch.column(at_).to_pylist()]
-            cols = [pa.array(out, batch.schema.field(k).type) if k == at_ else c for k, c in enumerate(batch.columns)]
+            out = [carry_upward(*x) for x in zip(batch.column(place).to_pylist(), batch.column(last).to_pylist())]
+            cols = [pa.array(out, batch.schema.field(k).type) if k == place else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    moved = flagged.where("_dash").mapInArrow(run, flagged.schema)
-    return flagged.where("not _dash").union(moved).drop("_dash")
+    moved = df.where("_dash").mapInArrow(run, df.schema)
+    return df.where("not _dash").union(moved).select(*[F.col(f"`{c}`") for c in kept])
+
 
+def carry_upward(grid: list[list[str]], raw_last: list[str]) -> list[list[str]]:
+    """Where a row's cells were joined by a dash below a gap, the rows above join theirs too, up to row 1.
 
-def merge_upward(grid: list[list[str]]) -> list[list[str]]:
-    """Merge the values above a dash that has a gap above it; cells are swept row by row."""
-    flag = 1
+    A range starts two columns or more to the right of the last one.  The first
+    row looks at the last one, as it came, for its gap, and has no row above.
+    """
+    right = 1
     for r, line in enumerate(grid):
-        for c in range(1, len(line) - 1):
-            if line[c] != C.DASH or grid[r - 1][c] or flag > c - 2:
+        for place in [k for k, v in enumerate(line) if R.JOINED in v]:
+            line[place] = line[place].replace(R.JOINED, "")
+            gap = place + 1
+            if (grid[r - 1] if r else raw_last)[gap] or right >= gap - 1:
                 continue
-            flag = c
-            for above in grid[r - 1 : 0 : -1] if r > 0 else grid[:0:-1]:
-                if above[c] or not above[c + 1]:
+            right = gap
+            for above in reversed(grid[1:r]):
+                if above[gap] or not above[gap + 1]:
                     break
-                above[c - 1] += "- " + above[c + 1]
-                above[c] = above[c + 1] = ""
+                above[place] = f"{above[place]}- {above[gap + 1]}"
+                above[gap : gap + 2] = ["", ""]
     return grid
 
 
@@ -115,8 +123,7 @@ def clean_filing(grids: DataFrame, grid_col: str = "grid") -> DataFrame:
     """
     g = F.col(grid_col)
     df = settle(grids.where(big_enough(g)), **{grid_col: drop_empty_cols(fill(g))})
-    df = upward_dashes(settle(df, **{grid_col: drop_empty_rows(g)}), grid_col)
-    df = settle(df, **{grid_col: F.transform(g, R.sweep)})
+    df = sweep_rows(settle(df, **{grid_col: drop_empty_rows(g)}), grid_col)
     df = settle(df, _offset=data_offset(g), **{grid_col: drop_empty_cols(g)}).where(big_enough(g))
     df = settle(df, **{grid_col: spread_headers(g, F.col("_offset"))}).drop("_offset")
     df = settle(df, **{grid_col: drop_body_empty_cols(g)})

@@ -14,7 +14,7 @@ from ..functions import cells as C
 from ..model import GRID, at, upto
 
 STRINGS = "array<string>"
-STATE = ("header", "grid", "applied", "skipped")
+STATE = ("header", "grid", "applied", "skipped", "mismatched")
 
 
 def _cut(a: Column, start: Column, n: Column, kind: str) -> Column:
@@ -88,8 +88,11 @@ def _step(acc: Column, e: Column) -> Column:
     ah, ag = add_cols(header, grid, index, amount)
     mh, mg = merge_cols(header, grid, index)
     by_row = F.coalesce(d["isRow"], F.lit(False))
+    now = F.when(row == 0, at(header, col)).otherwise(at(F.get(grid, row - 1), col))
+    editing = (action == "edit") & row.between(0, rows) & col.between(0, cols - 1)
+    mismatched = acc["mismatched"] + F.coalesce((editing & (d["oldVal"] != now)).cast("int"), F.lit(0))
     cases = [
-        ((action == "edit") & row.between(0, rows) & col.between(0, cols - 1), eh, eg),
+        (editing, eh, eg),
         ((action == "remove_row") & (index >= 0) & (index <= rows), header, remove_rows(grid, index, amount)),
         ((action == "remove_col") & index.between(0, cols - 1), rh, rg),
         ((action == "add_col") & (index >= 0), ah, ag),
@@ -99,24 +102,27 @@ def _step(acc: Column, e: Column) -> Column:
     ]
     new = None
     for test, h, g in cases:
-        value = F.struct(h.alias("header"), g.alias("grid"), (acc["applied"] + 1).alias("applied"), acc["skipped"].alias("skipped"))
+        value = F.struct(h.alias("header"), g.alias("grid"), (acc["applied"] + 1).alias("applied"), acc["skipped"].alias("skipped"), mismatched.alias("mismatched"))
         test = F.coalesce(test, F.lit(False))
         new = F.when(test, value) if new is None else new.when(test, value)
-    return new.otherwise(F.struct(header.alias("header"), grid.alias("grid"), acc["applied"].alias("applied"), (acc["skipped"] + 1).alias("skipped")))
+    return new.otherwise(F.struct(header.alias("header"), grid.alias("grid"), acc["applied"].alias("applied"), (acc["skipped"] + 1).alias("skipped"), mismatched.alias("mismatched")))
 
 
 def replay(targets: DataFrame, edits: DataFrame, name_col: str = "fileName") -> DataFrame:
-    """``targets`` (name, header, grid) after their instructions, with applied and skipped counts.
+    """``targets`` (name, header, grid) after their instructions, with applied, skipped and mismatched counts.
 
-    One shuffle by file name; each target folds its own instructions in order of
-    seq.  Instructions without a file name are left out; targets without any
-    stay as they are.
+    One shuffle by file name; each target folds its own instructions log by log
+    (where ``edits`` has a log) and in order of seq.  An edit is applied even if
+    the cell doesn't hold the old value it names; such are counted as mismatched.
+    Instructions without a file name are left out; targets without any stay as
+    they are.
     """
-    steps = edits.where(F.col(name_col).isNotNull()).groupBy(name_col).agg(F.array_sort(F.collect_list(F.struct("seq", "action", "details"))).alias("_edits"))
+    order = F.struct(*(["log"] if "log" in edits.columns else []), "seq", "action", "details")
+    steps = edits.where(F.col(name_col).isNotNull()).groupBy(name_col).agg(F.array_sort(F.collect_list(order)).alias("_edits"))
     df = targets.join(steps, name_col, "left")
     width = F.size("header")
     filled = F.transform("grid", lambda r: F.transform(upto(width), lambda j: at(r, j)))
-    start = F.struct(F.col("header"), filled.alias("grid"), F.lit(0).alias("applied"), F.lit(0).alias("skipped"))
+    start = F.struct(F.col("header"), filled.alias("grid"), F.lit(0).alias("applied"), F.lit(0).alias("skipped"), F.lit(0).alias("mismatched"))
     done = F.aggregate(F.coalesce("_edits", F.array().cast(steps.schema["_edits"].dataType)), start, _step)
     return df.withColumn("_done", done).select(*[c for c in targets.columns if c not in ("header", "grid")], "_done.*")
 
@@ -160,4 +166,4 @@ def paste_range(grid: Column, rng: Column, clip: Column) -> Column:
 
 def draw_tables(tables: DataFrame, seen: DataFrame, n: int = 5, seed: int = 0) -> DataFrame:
     """``n`` tables (doc_id, tid) not yet seen, in a seeded order."""
-    return tables.join(seen, ["doc_id", "tid"], "left_anti").orderBy(F.xxhash64("doc_id", "tid", F.lit(seed)), "doc_id", "tid").limit(n)
+    return tables.join(seen, ["doc_id", "tid"], "left_anti").orderBy(F.md5(F.concat_ws(":", "doc_id", "tid", F.lit(seed))), "doc_id", "tid").limit(n)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from ..model import at, let, upto, width
 
-#: The six looks of generated tables, (name, table style, header style).
+#: The six looks of generated tables, (name, table style, header style).
 LOOKS = [
     ("plain", "border-collapse:collapse", "font-weight:bold"),
     ("boxed", "border:1px solid #000;border-collapse:collapse", "border:1px solid #000"),
@@ -91,11 +91,21 @@ def table_html(grid: Column, caption: Column | None = None, look: Column | None
     return F.concat(F.lit('<table style="'), style, F.lit('">'), cap, cols, F.array_join(rows, ""), F.lit("</table>"))
 
 
-def document_html(parts: DataFrame, order: str = "path", html: str = "html", group: str | None = None) -> DataFrame:
-    """One document a group of tables, in order: (group,) html."""
+PAGE_HEAD, PAGE_END = "<!DOCTYPE html><html><head><meta charset='utf-8'></head><body>", "</body></html>"
+
+
+def document_html(parts: DataFrame, group: str, order: str = "path", html: str = "html") -> DataFrame:
+    """One document a group of tables, in order: (group, html)."""
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, html))), lambda x: x[html]), "\n")
-    page = F.concat(F.lit("<!DOCTYPE html><html><head><meta charset='utf-8'></head><body>\n"), whole, F.lit("\n</body></html>"))
-    return parts.groupBy(group).agg(page.alias("html")) if group else parts.agg(page.alias("html"))
+    page = F.concat(F.lit(PAGE_HEAD + "\n"), whole, F.lit("\n" + PAGE_END))
+    return parts.groupBy(group).agg(page.alias("html"))
+
+
+def write_document(parts: DataFrame, path: str, order: str = "path", html: str = "html") -> None:
+    """All tables as one document, cut into part files in order: no task holds more than its share."""
+    ends = parts.sparkSession.createDataFrame([(0, PAGE_HEAD), (2, PAGE_END)], "_k int, value string")
+    rows = parts.select(F.lit(1).alias("_k"), F.col(html).alias("value"), F.col(order).cast("string").alias("_o"))
+    rows.unionByName(ends, allowMissingColumns=True).orderBy("_k", "_o").select("value").write.mode("overwrite").text(path)
 
 
 def response_json(tables: DataFrame) -> DataFrame:

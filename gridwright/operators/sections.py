@@ -27,7 +27,7 @@ ANNUAL = [
     ("9A", 13, "partii", [[("controlsandprocedures", 30)]]),
     ("9B", 14, "partii", [[("otherinfo", 20)]]),
     ("9C", 15, "partii", [[("disclosureregarding", 40)]]),
-    ("10", 16, "partii", [[("directors", 50), ("executive", 50)], [("trustees", 50), ("executive", 50)]]),
+    ("10", 16, "", [[("directors", 50), ("executive", 50)], [("trustees", 50), ("executive", 50)]]),
     ("11", 17, "partiii", [[("executivecompensation", 35)]]),
     ("12", 18, "partiii", [[("securityownership", 30)]]),
     ("13", 19, "partiii", [[("certainrelationships", 30)]]),

@@ -26,7 +26,7 @@ def indent_levels(points: Column) -> Column:
 
 
 def level_prefix(level: Column, markdown: bool = True) -> Column:
-    return F.repeat(F.lit("&nbsp;&nbsp;" if markdown else "  "), level * 2)
+    return F.repeat(F.lit("&nbsp;&nbsp;" if markdown else " "), level * 2)
 
 
 def column_levels(points: Column) -> Column:

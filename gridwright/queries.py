@@ -253,27 +253,46 @@ def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select 5 as tables, 25 as lines")
 def document_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = nation_grids(spark, sf_dir).select(S("tid").alias("path"), render.table_html(F.col("grid")).alias("html"))
-    whole = render.document_html(parts)
+    parts = nation_grids(spark, sf_dir).select(F.lit("all").alias("name"), S("tid").alias("path"), render.table_html(F.col("grid")).alias("html"))
+    whole = render.document_html(parts, "name")
     count = lambda word: F.regexp_count("html", F.lit(word))
     return whole.select(count("<table").alias("tables"), count("<tr>").alias("lines"))
 
 
-@query("select c_custkey, 'h,,a' || chr(10) || c_name || '1- 2,,b' || chr(10) || 'x - y,,' as csv from customer where false")
-def dash_merge_up_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grids without a dash never enter Python."""
-    df = table(spark, sf_dir, "customer").withColumn("grid", customer_grid())
-    return clean.upward_dashes(df.where("c_custkey < 0")).select("c_custkey", render.csv_text(F.col("grid")).alias("csv"))
+@query("select c_custkey, c_name || ',,1200' || chr(10) || 'x,(5),' as csv from customer")
+def sweep_without_dash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids without a dash are swept and never enter Python."""
+    df = table(spark, sf_dir, "customer").withColumn("grid", F.array(row(F.col("c_name"), "$", "1,200"), row("x", "(5", ")")))
+    return clean.sweep_rows(df).select("c_custkey", render.csv_text(F.col("grid")).alias("csv"))
 
 
-@query("select p_partkey, 'h,,,' || chr(10) || p_brand || ',1- 2,,' || chr(10) || 'b,3- 4,,' || chr(10) || 'c,5,–,6' as csv from part")
+def swept(spark: SparkSession, sf_dir: str, *rows: Column) -> DataFrame:
+    up = clean.sweep_rows(table(spark, sf_dir, "part").select("p_partkey", F.array(*rows).alias("grid")))
+    return up.select("p_partkey", render.csv_text(F.col("grid")).alias("csv"))
+
+
+@query("select p_partkey, ',h,,,' || chr(10) || ',' || p_brand || ',1- 2,,' || chr(10) || ',b,3- 4,,' || chr(10) || ',c,5 - 6,,' as csv from part")
 def dash_merge_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dash in one row joins the two columns of the rows above as well."""
-    grid = F.array(row("h", "", "", ""), row(F.col("p_brand"), "1", "", "2"), row("b", "3", "", "4"), row("c", "5", C.DASH, "6"))
-    # The dash must stand two columns right of the flag's start for the upward rule.
-    df = table(spark, sf_dir, "part").withColumn("grid", F.transform(grid, lambda r: F.concat(F.array(F.lit("")), r)))
-    up = clean.upward_dashes(df)
-    return up.select("p_partkey", render.csv_text(F.transform("grid", lambda r: F.slice(r, 2, 4))).alias("csv"))
+    return swept(spark, sf_dir, row("", "h", "", "", ""), row(F.lit(""), F.col("p_brand"), "1", "", "2"), row("", "b", "3", "", "4"), row("", "c", "5", C.DASH, "6"))
+
+
+@query("select p_partkey, ',,x - y,,' || chr(10) || 'h,,,,' || chr(10) || p_brand || ',,1,,2' as csv from part")
+def dash_row0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dash in the first row has no rows above: the others stay."""
+    return swept(spark, sf_dir, row("", "", "x", C.DASH, "y"), row("h", "", "", "", ""), row(F.col("p_brand"), "", "1", "", "2"))
+
+
+@query("select p_partkey, 'h,,,,' || chr(10) || p_brand || ',,1- 2,,' || chr(10) || 'b,,3 - 4,,' as csv from part")
+def dash_after_dollar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row above is read as swept: a dollar sign alone leaves a gap."""
+    return swept(spark, sf_dir, row("h", "", "", "", ""), row(F.col("p_brand"), "", "1", "$", "2"), row("b", "", "3", C.DASH, "4"))
+
+
+@query("select p_partkey, 'h,,,,,,' || chr(10) || p_brand || ',,1- 2,,,x,4' || chr(10) || 'a,,5- 6,,- 8,,' || chr(10) || 'b,,5 - 6,, - 8,,' as csv from part")
+def dash_two_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ranges in a row: each goes up on its own until its gap is filled."""
+    return swept(spark, sf_dir, row("h", "", "", "", "", "", ""), row(F.col("p_brand"), "", "1", "", "2", "x", "4"), row("a", "", "5", "", "6", "", "8"), row("b", "", "5", C.DASH, "6", C.DASH, "8"))
 
 
 # --- pages: preparation of HTML ---
@@ -309,6 +328,14 @@ def form_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", prep.form_of(F.col("html")).alias("form"))
 
 
+@query("select page_id, case when page_id % 2 = 0 then '10-K' else '10-Q' end as form from pages")
+def form_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form stands behind 30,000 characters of a header that names the other one."""
+    other, own = (F.when(F.col("page_id") % 2 == k, "Form 10-K ").otherwise("Form 10-Q ") for k in (1, 0))
+    text = F.concat(F.lit("<html><ix:header>"), F.repeat(other, F.lit(3000)), F.lit("</ix:header><p>"), own, F.lit("</p>"), F.repeat(F.lit("x "), F.lit(12000)), F.lit("</html>"))
+    return table(spark, sf_dir, "pages").select("page_id", prep.form_of(text).alias("form"))
+
+
 @query()
 def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.anchors(html.html_elements(table(spark, sf_dir, "pages"), "page_id"))
@@ -389,6 +416,80 @@ def classify_10k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _around(elements_of(spark, sf_dir, ANNUAL_HEADINGS)).select("doc_id", "pos", _key_of(sections.classify_annual(F.col("text"), F.col("aft"))).alias("found"))
 
 
+#: Every rung of the annual ladder, by a text or the one that follows, with what it must give.
+RUNGS = [
+    ("Item 1. Business", "", "1:0"),
+    ("Item 1A. Risk Factors", "", "1A:1"),
+    ("Item 1B. Unresolved Staff Comments", "", "1B:2"),
+    ("Item 1C. Cybersecurity", "", "1C:3"),
+    ("Item 2. Properties", "", "2:4"),
+    ("Item 3. Legal Proceedings", "", "3:5"),
+    ("Item 4. Mine Safety Disclosures", "", "4:6"),
+    ("Item 4. Submission of Matters to a Vote", "", "4:6"),
+    ("Item 4. Executive Officers of the Registrant", "", "4:6"),
+    ("Item 5. Market for Registrant's Common Equity", "", "5:7"),
+    ("Item 5. Market Price of Shares", "", "5:7"),
+    ("Item 6. Selected Financial Data", "", "6:8"),
+    ("Item 6. [Reserved]", "", "6:8"),
+    ("Item 7. Management's Discussion and Analysis", "", "7:9"),
+    ("Item 7A. Quantitative and Qualitative Disclosures", "", "7A:10"),
+    ("Item 7A. Qualitative and Quantitative Disclosures", "", "7A:10"),
+    ("Item 8. Financial Statements and Supplementary Data", "", "8:11"),
+    ("Item 9. Changes in and Disagreements with Accountants", "", "9:12"),
+    ("Item 9A. Controls and Procedures", "", "9A:13"),
+    ("Item 9B. Other Information", "", "9B:14"),
+    ("Item 9C. Disclosure Regarding Foreign Jurisdictions", "", "9C:15"),
+    ("Item 10. Directors, Executive Officers and Governance", "", "10:16"),
+    ("Item 10. Trustees and Executive Officers", "", "10:16"),
+    ("Part II Item 10. Directors and Executive Officers", "", "10:16"),
+    ("Part III Item 10. Directors and Executive Officers", "", "10:16"),
+    ("Item 11. Executive Compensation", "", "11:17"),
+    ("Item 12. Security Ownership", "", "12:18"),
+    ("Item 13. Certain Relationships", "", "13:19"),
+    ("Item 14. Principal Accountant Fees", "", "14:20"),
+    ("Item 1.", "Business", "1:0"),
+    ("Item 1C.", "Cybersecurity", "1C:3"),
+    ("Item 6.", "Selected Consolidated Financial Data", "6:8"),
+    ("Item 8.", "Financial Statements", "8:11"),
+    ("Item 10.", "Directors and Executive Officers", "10:16"),
+    ("Item 14.", "Principal Accountant Fees", "14:20"),
+    ("Part I Item 2. Properties", "", None),
+    ("Part II Item 9A. Controls and Procedures", "", None),
+    ("Part III Item 11. Executive Compensation", "", None),
+    ("Item 8. Financial Statements continued", "", None),
+    ("Item 15. Exhibits", "Signatures", None),
+]
+
+
+def _rung_sql() -> str:
+    values = ", ".join(f"({k}, {'null' if want is None else repr(want)})" for k, (*_, want) in enumerate(RUNGS))
+    return f"select r_name as doc_id, cast(pos as int) as pos, found from region, (values {values}) v(pos, found)"
+
+
+@query(_rung_sql())
+def classify_10k_all_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.posexplode(F.array(*[F.struct(F.lit(a).alias("text"), F.lit(b).alias("aft")) for a, b, _ in RUNGS])).alias("pos", "x")
+    el = table(spark, sf_dir, "region").select(F.col("r_name").alias("doc_id"), lines)
+    return el.select("doc_id", "pos", _key_of(sections.classify_annual(F.col("x.text"), F.col("x.aft"))).alias("found"))
+
+
+#: A filing with two tables below two headings, spans, nested and dollar cells.
+_FILING = (
+    "<html><body><p>Form 10-K</p><p>Item 1. Business</p><table><tr><td>{0}</td><td>2020</td></tr><tr><td>a</td><td>1,000</td></tr></table>"
+    "<p>Item 7. Management's Discussion and Analysis</p>"
+    "<table><tr><td rowspan=2>{0}</td><td colspan=2>2021</td></tr><tr><td>$</td><td>5.0</td></tr><tr><td>b</td><td>$</td><td>( 6</td><td>)</td></tr></table></body></html>"
+)
+
+
+@query("""select n_name as doc_id, 1 as tid, n_name || ',2020' || chr(10) || 'a,1000' as csv, '1' as section from nation
+union all select n_name, 2, n_name || ',2021,2021' || chr(10) || n_name || ',,5' || chr(10) || 'b,,(6)', '7' from nation""")
+def extract_with_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head, *rest = _FILING.split("{0}")
+    text = F.concat(F.lit(head), *[x for part in rest for x in (F.col("n_name"), F.lit(part))])
+    made = api.extract(table(spark, sf_dir, "nation").select(F.col("n_name").alias("doc_id"), text.alias("html")), with_sections=True)
+    return made.select("doc_id", "tid", render.csv_text(F.col("grid")).alias("csv"), "section")
+
+
 _SCAN_SQL = """, cand as (select doc_id, pos, split_part(found, ':', 1) as key, cast(split_part(found, ':', 2) as int) as ord from (select *, {found} as found from el where {guard}) where found is not null),
 kept as (select * from cand a where ord >= coalesce((select max(ord) from cand b where b.doc_id = a.doc_id and b.pos < a.pos), 0)),
 marks as (select doc_id, key, max(pos) as pos, min(ord) as ord from kept group by 1, 2)"""
@@ -436,6 +537,16 @@ def edit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("c_custkey", F.array_join("header", ",").alias("head"), render.csv_text(F.col("grid")).alias("csv"), "applied", "skipped")
 
 
+@query("select c_custkey, 'x,9' || chr(10) || 'y,2' as csv, 1 as applied, 0 as skipped, cast(c_custkey % 2 as int) as mismatched from customer")
+def edit_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edit that names another old value is applied and counted."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", S("c_custkey").alias("fileName"), row("h", "i").alias("header"), F.array(row("x", "1"), row("y", "2")).alias("grid"))
+    old = F.when(F.col("c_custkey") % 2 == 0, "1").otherwise("7")
+    details = F.struct(F.lit(1).cast("long").alias("row"), F.lit(1).cast("long").alias("col"), old.alias("oldVal"), F.lit("9").alias("newVal"), F.lit(None).cast("long").alias("index"), F.lit(None).cast("long").alias("amount"), F.lit(None).cast("boolean").alias("isRow"))
+    done = edits.replay(c, c.select("fileName", F.lit("log").alias("log"), F.lit(1).alias("seq"), F.lit("edit").alias("action"), details.alias("details")))
+    return done.select("c_custkey", render.csv_text(F.col("grid")).alias("csv"), "applied", "skipped", "mismatched")
+
+
 @query("with b as (select distinct p_brand from part) select a.p_brand as \"fileName\", min('/d/' || f.p_brand || '_1.csv') as path from b a join b f on starts_with(f.p_brand || '_1.csv', a.p_brand) group by 1")
 def file_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.col("p_brand").alias("fileName")).distinct()
@@ -487,6 +598,15 @@ def style_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.select(F.col("doc_id").cast("int").alias("doc_id"), "tid", render.csv_text(F.transform("grid", lambda r: F.slice(r, 1, 2))).alias("csv"))
 
 
+@query("""select n_nationkey as doc_id, 1 as tid, n_name || ',' || n_name || chr(10) || 'a,5' || chr(10) || '  b,(6)' || chr(10) || '    c,7' as csv from nation""")
+def styled_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Style-aware CSV: two spaces a level, no stars."""
+    line = '<tr><td><p style="margin-left:{}pt">{}</p></td><td><p>{}</p></td><td>{}</td></tr>'
+    body = F.concat(F.lit('<table><tr><td colspan=3><p style="font-weight:bold">'), F.col("n_name"), F.lit("</p></td></tr>" + line.format(0, "a", "5", "") + line.format(12, "b", "( 6", "<p>)</p>") + line.format(24, "c", "7", "") + "</table>"))
+    made = api.to_styled(table(spark, sf_dir, "nation").select(S("n_nationkey").alias("doc_id"), body.alias("html")), output="csv")
+    return made.select(F.col("doc_id").cast("int").alias("doc_id"), "tid", F.col("text").alias("csv"))
+
+
 @query()
 def random_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("tableIndex"), F.col("n_name").alias("fileName"), F.lit(8).alias("rows"), F.lit(4).alias("cols"))
@@ -502,14 +622,14 @@ def html_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("tid", "doc_id", render.csv_text(bare).alias("csv"))
 
 
-@query("select n_nationkey as doc_id, n_regionkey as tid from nation order by n_nationkey limit 0")
-def draw_seen_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nothing is drawn once every table has been seen."""
+@query("select n_nationkey as doc_id, n_regionkey as tid from nation where n_nationkey < 3")
+def draw_the_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fewer than five are left: all of them are drawn."""
     t = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.col("n_regionkey").alias("tid"))
-    return edits.draw_tables(t, t)
+    return edits.draw_tables(t, t.where("doc_id >= 3"))
 
 
-@query()
+@query("select n_nationkey as doc_id, n_regionkey as tid from nation where n_nationkey >= 5 order by md5(concat_ws(':', n_nationkey, n_regionkey, 0)) limit 5")
 def draw_five(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.col("n_regionkey").alias("tid"))
     return edits.draw_tables(t, t.where("doc_id < 5"))

@@ -18,8 +18,8 @@ BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "title", "td", "
 TITLES = {"h1", "h2", "h3", "h4", "h5", "h6", "title"}
 SILENT = {"script", "style", "head"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "col", "area", "base", "wbr"}
-#: More columns or rows than this a span isn't followed: guards against a bogus attribute.
-MOST_SPAN = 1000
+#: The HTML standard's limits of a cell's spans; rows end with their table's own.
+MOST_SPAN = {"colspan": 1000, "rowspan": 65_534}
 
 
 def squeeze(text: str) -> str:
@@ -52,7 +52,7 @@ def indent_of(style: str) -> float:
 
 def _span(attrs: dict[str, str | None], name: str) -> int:
     digits = re.match(r"\s*(\d+)", attrs.get(name) or "")
-    return min(max(int(digits[1]), 1), MOST_SPAN) if digits else 1
+    return min(max(int(digits[1]), 1), MOST_SPAN[name]) if digits else 1
 
 
 class _Cell:

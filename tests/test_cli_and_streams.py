@@ -24,6 +24,24 @@ def test_extract_and_replay(spark, tmp_path):
     assert texts(tmp_path / "edited") == ["h,i\n1,9"] and (tmp_path / "edited" / "folder=one").exists()
 
 
+def test_stream_of_edits_keeps_state(spark, tmp_path):
+    """The second batch starts from what the first one left; files without an edit aren't written."""
+    details = "row long, col long, oldVal string, newVal string, index long, amount long, isRow boolean"
+    schema = f"fileName string, seq long, action string, details struct<{details.replace(' ', ':', 0)}>".replace("struct<row long, col long, oldVal string, newVal string, index long, amount long, isRow boolean>", "struct<row:bigint,col:bigint,oldVal:string,newVal:string,index:bigint,amount:bigint,isRow:boolean>")
+    targets = spark.createDataFrame([("f", ["h", "i"], [["1", "2"]]), ("g", ["h", "i"], [["3", "4"]])], "fileName string, header array<string>, grid array<array<string>>")
+    edit = lambda seq, col, new, old=None: ("f", seq, "edit", (1, col, old, new, None, None, None))
+
+    def batch(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        assert filings.replay_stream(targets, stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
+
+    batch(edit(1, 0, "A"))
+    batch(edit(2, 1, "B", "2"), edit(3, 0, "C", "x"))
+    got = {r.epoch: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[0].grid == [["A", "2"]] and got[1].grid == [["C", "B"]] and got[1].mismatched == 1 and len(got) == 2
+
+
 def test_stream_of_pages(spark, tmp_path):
     spark.createDataFrame([(7, "u", HTML)], "page_id long, url string, html string").write.parquet(str(tmp_path / "in"))
     made = filings.extract_stream(filings.filings_stream(spark, str(tmp_path / "in")))

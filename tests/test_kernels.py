@@ -37,9 +37,30 @@ def test_csv_ragged_and_crlf():
     assert files.decode_bytes("é".encode("cp1252")) == "é" and files.decode_bytes(b"\xef\xbb\xbfa") == "a"
 
 
-def test_upward_merge():
+def swept(spark, grid):
+    df = spark.createDataFrame([(grid,)], "grid array<array<string>>")
+    return clean.sweep_rows(df).first().grid
+
+
+def test_upward_merge(spark):
     grid = [["", "h", "", "", ""], ["", "a", "1", "", "2"], ["", "b", "3", "–", "4"]]
-    assert clean.merge_upward([list(r) for r in grid])[1] == ["", "a", "1- 2", "", ""]
+    assert swept(spark, grid)[1:] == [["", "a", "1- 2", "", ""], ["", "b", "3 - 4", "", ""]]
+
+
+def test_upward_merge_reads_swept_rows(spark):
+    grid = [["h", "", "", "", ""], ["a", "", "1", "$", "2"], ["b", "", "3", "–", "4"]]
+    assert swept(spark, grid)[1] == ["a", "", "1- 2", "", ""]
+
+
+def test_dash_in_the_first_row(spark):
+    grid = [["", "", "x", "–", "y"], ["h", "", "", "", ""], ["a", "", "1", "", "2"]]
+    assert swept(spark, grid) == [["", "", "x - y", "", ""], ["h", "", "", "", ""], ["a", "", "1", "", "2"]]
+
+
+def test_spans_as_long_as_the_table():
+    rows = "".join(f"<tr><td>{k}</td></tr>" for k in range(1200))
+    grid = html.parse(f"<table><tr><td rowspan=70000>x</td><td>y</td></tr>{rows}</table>").tables[0].grid()
+    assert len(grid) == 1201 and grid[-1] == ["x", "1199"]
 
 
 def test_tree_distance():
