@@ -42,9 +42,11 @@ select query_id, cast(rank as int) as rank, vec_id, score from (select *, row_nu
 
 WARC_FIXITY = r"""
 with r as (select page_id as id, page_id // 256 as file, coalesce(html, '') as body, strlen('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:gridwright:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || regexp_replace(coalesce(url, ''), '[\x00-\x20]', '', 'g') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)) + strlen(coalesce(html, '')) + 4 as length from pages),
-o as (select *, coalesce(sum(length) over (partition by file order by id rows between unbounded preceding and 1 preceding), 0) as start from r),
-x as (select *, case when file % 5 = 3 and id % 256 = 255 then 'missing' when id % 389 = 11 and body <> repeat('0', strlen(body)) or id % 389 <> 11 and id % 97 = 5 then 'changed' end as status from o)
-select cast(file as bigint) as file, cast(start as bigint) as offset, id as left_id, case when status = 'changed' then id end as right_id, cast(length as bigint) as left_length, case when status = 'changed' then cast(length as bigint) end as right_length, status from x where status is not null"""
+o as (select *, coalesce(sum(length) over (partition by file order by id rows between unbounded preceding and 1 preceding), 0) as start, file % 3 = 1 and id % 101 = 50 as lost, id % 389 = 11 and body <> repeat('0', strlen(body)) or id % 389 <> 11 and id % 97 = 5 as changed from r),
+news as (select file, -1 - id as id, 8 as length from o where id % 211 = 7 and not lost),
+placed as (select file, id, length, coalesce(sum(length) over (partition by file order by id rows between unbounded preceding and 1 preceding), 0) as start from news)
+select cast(file as bigint) as file, cast(start as bigint) as offset, id as left_id, case when not lost then id end as right_id, cast(length as bigint) as left_length, case when not lost then cast(length as bigint) end as right_length, case when lost then 'missing' else 'changed' end as status from o where lost or changed
+union all select cast(file as bigint), cast(start as bigint), null, id, null, cast(length as bigint), 'extra' from placed"""
 
 ORACLES = {
     "op2_line_dedup": LINE_DEDUP,
