@@ -8,7 +8,6 @@ selected, and a window merges the cells' results.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-CANDIDATES = 1 << 14
-QUERIES = 1 << 10
+#: Rows and queries of a cell at most, and rows at least where there are fewer cells than cores.
+CANDIDATES = 1 << 17
+QUERIES = 1 << 12
+FEWEST = 1 << 12
 #: Scores that a task holds at once.
 SCORES = 1 << 20
 
@@ -43,11 +44,15 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))]
 
 
-def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def postings(rows: np.ndarray) -> list[np.ndarray]:
+    """Each term's rows."""
+    return [np.flatnonzero(rows[:, t]) for t in range(rows.shape[1])]
+
+
+def accumulate(queries: np.ndarray, rows: np.ndarray, posted: list[np.ndarray] | None = None) -> np.ndarray:
     """Scores of every query against every row, one term at a time."""
     scores = np.zeros((len(queries), len(rows)), np.int64)
-    for t in range(rows.shape[1]):
-        at = np.flatnonzero(rows[:, t])
+    for t, at in enumerate(postings(rows) if posted is None else posted):
         asking = np.flatnonzero(queries[:, t])
         if not len(at) or not len(asking):
             continue
@@ -65,14 +70,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, i
     no candidate; ties go to the smaller id; queries with fewer than k candidates
     get them all.  Vectors that are null, empty or hold null or non-finite
     components take no part, nor do rows without an id; a row meets only vectors
-    of its own length; repeated rows are candidates each; further columns aren't
-    read.
+    of its own length; repeated rows are candidates each; an empty table gives an
+    empty result; further columns aren't read.  Components so large that a score
+    could pass 64 bits raise OverflowError.
+
+    Cells are as large as a task's memory allows, so a row is sent to few of them.
     """
     own = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    own = own.where(F.col("id").isNotNull() & usable(F.col("v")) & (F.size("v") > 0)).select("id", whole(F.col("v"), scale).alias("v"), "asks")
-    own = stash(own, "vectors")
-    size = own.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    across, down = -(-size["n"] // CANDIDATES) or 1, -(-size["q"] // QUERIES) or 1
+    own = own.where(F.col("id").isNotNull() & usable(F.col("v")) & (F.size("v") > 0))
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")) * scale))
+    own = stash(own.select("id", whole(F.col("v"), scale).alias("v"), "asks", largest.alias("largest")), "vectors")
+    size = own.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max("largest").alias("m"), F.max(F.size("v")).alias("width")).first()
+    if size["n"] and (size["m"] + 1) ** 2 * size["width"] >= 2.0**62:
+        raise OverflowError(f"components up to {size['m'] / scale:g} are too large for 64-bit scores")
+    slots = own.sparkSession.sparkContext.defaultParallelism
+    across, down = max(-(-size["n"] // CANDIDATES), min(slots, -(-size["n"] // FEWEST)), 1), -(-size["q"] // QUERIES) or 1
     spread = F.xxhash64("id", F.lit(7))
     rows = own.select(F.pmod(spread, F.lit(across)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("b"), "id", "v", F.lit(False).alias("asks"))
     asked = own.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("c"), F.pmod(spread, F.lit(down)).cast("int").alias("b"), "id", "v", "asks")
@@ -90,9 +102,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, i
             cm = np.stack([v for v, x in zip(c_vec, ca) if x])
             order = np.argsort(ci, kind="stable")
             ci, cm = ci[order], np.ascontiguousarray(cm[order])
-            step = max(1, SCORES // len(ci))
+            step, posted = max(1, SCORES // len(ci)), postings(cm)
             for a in range(0, len(qi), step):
-                for q, s in zip(qi[a : a + step], accumulate(qm[a : a + step], cm)):
+                for q, s in zip(qi[a : a + step], accumulate(qm[a : a + step], cm, posted)):
                     other = ci != q
                     at = best(s[other], ci[other], k) if not other.all() else best(s, ci, k)
                     pick = np.flatnonzero(other)[at] if not other.all() else at
