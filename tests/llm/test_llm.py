@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out accuracy, and on odd rows."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -179,11 +180,63 @@ def test_mix_meets_its_quotas(docs):
 
 
 def test_mix_entropy_and_budget(spark, docs):
-    mix = mixing.Mix(max_repeats=None, target_entropy=2.9, budget_tokens=20_000)
+    mix = mixing.Mix(max_repeats=None, target_entropy=2.9, budget_tokens=1_000_000)
     rows = mixing.mixed(docs, mix, keys=True).collect()
     weights = {r.source: r.weight for r in rows}
-    assert sum(r.tokens for r in rows) <= 20_000
-    assert -sum(w * math.log(w) for w in weights.values()) == pytest.approx(2.9, abs=0.01) or len(weights) < 20
+    assert sum(r.tokens for r in rows) <= 1_000_000
+    assert len(weights) == 20 and -sum(w * math.log(w) for w in weights.values()) == pytest.approx(2.9, abs=1e-4)
+
+
+def test_mix_by_brute_force(spark):
+    """Exponent, quotas, epochs and the cut of the last one, against a plain version over the rows' own keys."""
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(["w"] * int(rng.integers(0, 40))), f"s{min(int(rng.exponential(1.5)), 4)}") for k in range(900)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), mixing.Mix(max_repeats=1.7), keys=True).collect()
+    size = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in {x for *_, x in rows}}
+
+    def weights(x):
+        power = {s: (n / sum(size.values())) ** x for s, n in size.items()}
+        return {s: p / sum(power.values()) for s, p in power.items()}
+
+    def repeats(x):
+        w = weights(x)
+        budget = max(size[s] / w[s] for s in size)
+        return {s: w[s] * budget / size[s] for s in size}
+
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if max(repeats(mid).values()) <= 1.7 else (mid, hi)
+    want = weights(hi)
+    for r in got:
+        assert r.weight == pytest.approx(want[r.source], abs=1e-5)
+    for s, n in size.items():
+        quota = n * repeats(hi)[s]
+        own = {}
+        for r in got:
+            if r.source == s:
+                own.setdefault(r.epoch, []).append(r)
+        full = int(quota / n + 1e-4)
+        assert sorted(own)[:full] == list(range(full)) and all(len(own[e]) == sum(x == s for *_, x in rows) for e in range(full))
+        rest = sorted(own.get(full, []), key=lambda r: (r.block_key, r.block, r.row_key))
+        assert sum(r.tokens for r in rest) <= quota - full * n + 1e-3 * n
+        # The taken rows begin the epoch's permutation: no other row of it comes before the last one.
+        if rest:
+            key = lambda r: (r.block_key, r.block, r.row_key)
+            blocks = max(1, -(-sum(x == s for *_, x in rows) // mixing.BLOCK))
+            md = lambda *p: int(hashlib.md5(":".join(map(str, p)).encode()).hexdigest()[:15], 16)
+            keys = {r.doc_id: r for r in own[0]}
+            assert all(r.block == keys[r.doc_id].block and r.block < blocks for r in rest)
+            assert all(r.block_key == md(0, "b", s, r.block, full) for r in rest)
+            missing = {i for i in keys} - {r.doc_id for r in rest}
+            later = [md(0, "b", s, keys[i].block, full) for i in missing]
+            assert all(x >= key(rest[-1])[0] for x in later)
+
+
+def test_mix_of_a_table_without_a_word(spark):
+    rows = [(1, None, "a", 1), (2, " ", "a", 1), (2, " ", "a", 1), (3, "", None, 1)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, epoch long"), keys=True)
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 2, 3] and {"epoch", "epoch_"} <= set(got.columns)
 
 
 def test_mix_odd_rows(odd, none):
@@ -205,10 +258,10 @@ def plain_dedup(rows, ratio, least):
     return {i: text if text is None else "\n".join(x for x in text.split("\n") if (host or "", x.strip(" \t\n\x0b\x0c\r")) not in bad) for i, host, text in rows}
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
+@pytest.mark.parametrize("limit", [16 << 20, -1])
 def test_line_dedup(spark, docs, limit):
     rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
-    got = linededup.drop_boilerplate(docs, "text", "source", 0.05, 2, broadcast_lines=limit)
+    got = linededup.drop_boilerplate(docs, "text", "source", 0.05, 2, broadcast_bytes=limit)
     assert got.columns == docs.columns
     assert {r.doc_id: r.text for r in got.collect()} == plain_dedup(rows, 0.05, 2)
 
@@ -450,3 +503,21 @@ def test_warc_audit(spark, tmp_path):
     back = warc.read(spark, str(tmp_path / "w"))
     assert back.count() == 601 and warc.audit(recs, back).count() == 0
     assert warc.audit(recs.where("false"), recs.where("false")).count() == 0
+
+
+def test_warc_realigns(spark):
+    """A record lost or inserted within a file is the only one reported, whatever follows it."""
+    recs = warc.records(spark.createDataFrame([(k, f"http://h/{k}", f"<p>page {k}</p>" * 30) for k in range(250)], "page_id long, url string, html string"))
+    lost = warc.audit(recs, recs.where("record_id <> 3")).collect()
+    assert [(r.left_id, r.status) for r in lost] == [(3, "missing")]
+    more = warc.audit(recs.where("record_id <> 3"), recs).collect()
+    assert [(r.right_id, r.status) for r in more] == [(3, "extra")]
+
+
+def test_warc_odd_rows(spark):
+    rows = [(None, None, None, 1), (None, None, None, 1), (1, "u", None, 2), (1, "u", "x", 2), (1, "u", "x", 2), (2, "u", "long " * 60_000, 3)]
+    recs = warc.records(spark.createDataFrame(rows, "page_id long, url string, html string, offset long"))
+    assert recs.count() == 6 and warc.audit(recs, recs).count() == 0
+    got = warc.audit(recs, recs.dropDuplicates()).collect()
+    assert sorted(r.status for r in got) == ["missing", "missing"]
+    assert warc.leaves(recs).agg(F.min("record_id")).first()[0] < 0

@@ -115,3 +115,19 @@ def test_stages_read_what_the_last_one_wrote(spark, monkeypatch):
     out = pipeline.run(spark, SF)
     assert all("/one-" in f for f in seen[1].inputFiles()) and all("/two-" in f for f in out.inputFiles())
     assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 0").count()
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null, empty and long texts, repeated rows and ids, clashing columns, and empty tables go through every stage."""
+    spark.createDataFrame([(1, 0, 0), (2, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(1, None, None, 1), (2, "", "s", 1), (3, " \n ", "s", 2), (4, "some words of a text " * 9, "s", 3), (4, "some words of a text " * 9, "s", 3), (4, "another text by that id", "s", 3), (None, "no id here", "t", 4), (5, "long " + "and more words " * 20_000, "t", None)]
+    schema = "doc_id long, text string, source string, _node long"
+    for odd, count in ((spark.createDataFrame(rows, schema), len(rows)), (spark.createDataFrame([], schema), 0)):
+        docs = odd
+        for name, stage in pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == odd.columns
+        texts = {(r.text or "").strip() for r in docs.collect()}
+        assert texts == {(t or "").strip() for _, t, *_ in rows[:count]}
+        packed = pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.collect()}
