@@ -63,9 +63,13 @@ def _normal(line: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """(h, n) of each line with a word: its hash for comparison and its number of words."""
-    own = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    return F.transform(own, lambda x: F.struct(F.xxhash64(_normal(x)).alias("h"), F.size(F.split(F.btrim(x, F.lit(SPACES)), r"[\x20\x09-\x0D]+")).alias("n")))
+    """The lines with a word."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+
+
+def _hashes(lines: Column) -> Column:
+    """Hashes of lines for comparison."""
+    return F.transform(lines, lambda x: F.xxhash64(_normal(x)))
 
 
 def common_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = 20, max_share: float = 0.02) -> DataFrame:
@@ -75,7 +79,7 @@ def common_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sourc
     host has at most (lines a text) / ``max_share`` such lines.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    own = docs.select(F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("digest"), F.array_distinct(F.transform(_lines(text), lambda x: x["h"])).alias("lines"))
+    own = docs.select(F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("digest"), F.array_distinct(_hashes(_lines(text))).alias("lines"))
     texts = stash(own.groupBy("host", "digest").agg(F.first("lines").alias("lines")), "line-hashes")
     totals = texts.groupBy("host").agg(F.count("*").alias("texts"))
     seen = texts.select("host", F.explode("lines").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
@@ -103,9 +107,9 @@ def judged(docs: DataFrame, text_col: str = "text", host_col: str = "source", mi
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), text.alias("text"), F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias(host))
     df = measured(own, "text").join(F.broadcast(common) if size <= broadcast_bytes else common, host, "left")
     # The few common lines of a row are found by a hash set; its lines are looked up among these alone.
-    lines = F.when(F.col(bad).isNotNull(), _lines(F.col("text")))
-    df = df.withColumn(q, lines).withColumn(hit, F.array_intersect(F.transform(q, lambda x: x["h"]), F.col(bad)))
-    lost = F.aggregate(F.filter(q, lambda x: F.array_contains(hit, x["h"])), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    df = df.withColumn(q, F.when(F.col(bad).isNotNull(), _hashes(_lines(F.col("text"))))).withColumn(hit, F.array_intersect(q, bad))
+    gone = F.filter(_lines(F.col("text")), lambda x, i: F.array_contains(hit, F.get(q, i)))
+    lost = F.aggregate(gone, F.lit(0).cast("long"), lambda a, x: a + F.size(words_of(x)))
     df = df.withColumn("lost", F.when(F.size(hit) > 0, lost).otherwise(0))
     df = df.withColumn("n_words_left", F.col("n_words") - F.col("lost"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
