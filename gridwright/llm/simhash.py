@@ -18,16 +18,15 @@ collide on their whole shingle sets.
 from __future__ import annotations
 
 import math
-import string
 from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD_GAP, free_name, id_or_digest, stash
+from .common import free_name, id_or_digest, stash
 
 BITS = 64
 #: Variants that a task holds at once; prefixes are as long as this asks.
@@ -241,26 +240,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(label, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def normal(text: Column) -> Column:
-    """A text's words, A-Z in lower case, with one space between; null is ''."""
-    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.btrim(F.regexp_replace(low, WORD_GAP, " "), F.lit(SPACES))
+def normal(text: str | None) -> bytes:
+    """A text's words, A-Z in lower case, with one space between; null has none."""
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
-def shingles(text: str, width: int) -> np.ndarray:
+def shingles(text: bytes, width: int) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a normal text; a shorter text is one shingle."""
     from xxhash import xxh64_intdigest
 
     if not text:
         return np.zeros(0, np.uint64)
-    raw = text.encode("utf-8", "surrogatepass")
-    gaps = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+    gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
     n = len(gaps) + 2 - width
     if n <= 1:
-        return np.array([xxh64_intdigest(raw)], np.uint64)
+        return np.array([xxh64_intdigest(text)], np.uint64)
     starts = np.concatenate(([0], gaps[: n - 1] + 1)).tolist()
-    ends = np.concatenate((gaps[width - 1 :], [len(raw)])).tolist()
-    return np.unique(np.fromiter((xxh64_intdigest(raw[a:b]) for a, b in zip(starts, ends)), np.uint64, n))
+    ends = np.concatenate((gaps[width - 1 :], [len(text)])).tolist()
+    return np.unique(np.fromiter((xxh64_intdigest(text[a:b]) for a, b in zip(starts, ends)), np.uint64, n))
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -420,8 +417,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
             keep = []
             for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 if b != last:
-                    last, left = b, shingles(y.as_py(), width)
-                right = shingles(x.as_py(), width)
+                    last, left = b, shingles(normal(y.as_py()), width)
+                right = shingles(normal(x.as_py()), width)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(both >= similarity * (len(left) + len(right) - both))
             mask = pa.array(keep, pa.bool_())
@@ -432,25 +429,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar(docs: DataFrame, text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a, b), a > b: links between 64-bit hashes of normal texts of Jaccard ``similarity`` or more.
+def _linked(docs: DataFrame, text_col: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The links of ``similar`` and (raw, node): hashes of texts as they are and of their normal form.
 
-    Ball hashing proposes pairs and the whole sets of ``width``-word shingles
-    decide them.  Exact copies share a hash and need no link.
+    Texts are normalised once, where they are sketched; later passes over
+    ``docs`` need only the hash of the text as it is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [sketch(shingles(t.as_py(), width)).view(np.int64) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["node", "sketch"])
+        from xxhash import xxh64_intdigest
 
-    plain = docs.select(normal(F.col(f"`{text_col}`")).alias("text")).select(F.xxhash64("text").alias("node"), "text")
-    signed = plain.where("text <> ''").mapInArrow(run, "node long, sketch array<long>")
-    nodes = stash(signed.groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
+        for batch in batches:
+            plain = [normal(t.as_py()) for t in batch.column(1)]
+            node = np.fromiter(map(xxh64_intdigest, plain), np.uint64, len(plain)).view(np.int64)
+            own = [sketch(shingles(t, width)).view(np.int64) if t else None for t in plain]
+            yield pa.record_batch([batch.column(0), pa.array(node), pa.array(own, pa.list_(pa.int64()))], names=["raw", "node", "sketch"])
+
+    texts = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("raw"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    signed = stash(texts.mapInArrow(run, "raw long, node long, sketch array<long>"), "sketches")
+    by_raw = stash(signed.select("raw", "node").distinct(), "hashes")
+    nodes = stash(signed.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch")), "nodes")
     pairs = stash(candidates(nodes), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = stash(plain.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
-    return _verified(pairs, texts, width, similarity)
+    wanted = by_raw.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("raw").alias("raw"))
+    # One text for each candidate; rows that repeat it are dropped before they move.
+    found = texts.join(wanted, "raw").groupBy("node").agg(F.first("text").alias("text"))
+    return _verified(pairs, stash(found, "candidate-texts"), width, similarity), by_raw
+
+
+def similar(docs: DataFrame, text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b), a > b: links between 64-bit hashes of normal texts of Jaccard ``similarity`` or more.
+
+    Ball hashing proposes pairs and the whole sets of ``width``-word shingles
+    decide them.  Exact copies share a hash and need no link; null and wordless
+    texts have none; an empty table gives none.
+    """
+    return _linked(docs, text_col, width, similarity)[0]
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -464,13 +478,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stays; an empty table stays empty.  Columns are those of ``docs``, whatever
     their names.
     """
-    node, key, same, rank = free_name(docs, "_node", "_key", "_same", "_rank")
-    group = components(similar(docs, text_col, width, similarity))
-    text = F.col(f"`{text_col}`")
-    own = docs.select(F.xxhash64(normal(text)).alias("node"), id_or_digest(id_col, text_col).alias("id"))
-    first = own.groupBy("node").agg(F.min("id").alias("id"))
-    first = first.join(group.withColumnRenamed("a", "node"), "node", "left").groupBy(F.coalesce("b", "node").alias("b")).agg(F.min(F.struct("id", "node")).alias("s"))
-    stay = stash(first.select(F.col("s.id").alias(key), F.col("s.node").alias(node)), "stay")
-    kept = docs.withColumn(key, id_or_digest(id_col, text_col)).withColumn(node, F.xxhash64(normal(text))).join(stay, [key, node], "left_semi")
-    kept = kept.withColumn(same, F.xxhash64(text))
-    return kept.withColumn(rank, F.row_number().over(Window.partitionBy(key, node).orderBy(same))).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    raw, key, rank = free_name(docs, "_raw", "_key", "_rank")
+    linked, by_raw = _linked(docs, text_col, width, similarity)
+    group = components(linked).withColumnRenamed("a", "node")
+    hashed = F.xxhash64(F.col(f"`{text_col}`"))
+    own = docs.select(hashed.alias("raw"), id_or_digest(id_col, text_col).alias("id")).groupBy("raw").agg(F.min("id").alias("id"))
+    first = own.join(by_raw, "raw").groupBy("node").agg(F.min(F.struct("id", "raw")).alias("s"))
+    first = first.join(group, "node", "left").groupBy(F.coalesce("b", "node").alias("b")).agg(F.min("s").alias("s"))
+    stay = stash(first.select(F.col("s.id").alias(key), F.col("s.raw").alias(raw)), "stay")
+    kept = docs.withColumn(key, id_or_digest(id_col, text_col)).withColumn(raw, hashed).join(stay, [key, raw], "left_semi")
+    return kept.withColumn(rank, F.row_number().over(Window.partitionBy(key, raw).orderBy(raw))).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
