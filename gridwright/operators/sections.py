@@ -123,8 +123,8 @@ def starts(elements: DataFrame, form: str | Column = "10-Q") -> DataFrame:
 
 
 def _fallback(elements: DataFrame, form: Column, kept: DataFrame) -> DataFrame:
-    """Section 1.1 of a quarterly report without its heading: the first mention of consolidated statements."""
-    low = F.lower("text")
+    """Section 1.1 of a quarterly report without its heading: the first mention of consolidated statements, spaces aside."""
+    low = squash(F.col("text"))
     first = elements.where((form == "10-Q") & low.contains("consolidated") & low.contains("statements")).groupBy("doc_id").agg(F.min("pos").alias("pos"))
     return first.join(kept.where("key = '1.1'"), "doc_id", "left_anti").select("doc_id", F.lit("1.1").alias("key"), "pos", F.lit(1).alias("ord"))
 
