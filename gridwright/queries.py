@@ -417,7 +417,7 @@ def classify_10k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select n_name as doc_id, '1.1' as key, 1 as pos, 1 as ord from nation")
-def section_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+def section_fallback_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without its heading, section 1.1 begins at a title that letterspacing has pulled apart."""
     texts = ["Quarterly report", "C O N S O L I D A T E D  balance sheet  S T A T E M E N T S", "consolidated statements again"]
     return sections.starts(elements_of(spark, sf_dir, texts), "10-Q").select("doc_id", "key", "pos", "ord")
