@@ -25,7 +25,7 @@ def main(argv: list[str] | None = None) -> None:
     command("extract", path, out, ("--recursive", {"action": "store_true"}), ("--format", {"choices": ["csv", "markdown", "styled"], "default": "csv"}))
     command("replay", ("csv_path", {}), ("json_path", {}), out)
     command("render", path, out, ("--recursive", {"action": "store_true"}), ("--seed", {"type": int, "default": 0}))
-    command("random-edits", path, out, ("--count", {"type": int, "default": 50}), ("--tables", {"type": int, "default": -1}), ("--seed", {"type": int, "default": 0}))
+    command("random-edits", path, out, ("--logs", {"type": int, "default": 50}), ("--count", {"type": int, "default": 50}), ("--tables", {"type": int, "default": -1}), ("--seed", {"type": int, "default": 0}))
     command("score", ("parsed", {}), ("truth", {}), ("--metric", {"choices": ["grid", "tree"], "default": "grid"}))
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("gridwright").getOrCreate()
@@ -54,10 +54,10 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "random-edits":
         grids = files.read_csv(spark, a.path)
         ordered = grids.orderBy("doc_id").limit(a.tables) if a.tables > 0 else grids
-        from pyspark.sql import Window
-
-        dims = ordered.select(F.row_number().over(Window.orderBy("doc_id")).alias("tableIndex"), name("doc_id").alias("fileName"), (F.size("grid") - 1).alias("rows"), F.size(F.col("grid")[0]).alias("cols"))
-        render.write_texts(render.edits_json(generate.random_edits(spark, dims, a.count, a.seed)), a.output, "body", "fileName")
+        dims = ordered.select(F.col("doc_id").alias("path"), name("doc_id").alias("fileName"), (F.size("grid") - 1).alias("rows"), F.size(F.col("grid")[0]).alias("cols"))
+        numbered = dims.orderBy("path").rdd.zipWithIndex().map(lambda x: (x[1] + 1, *x[0][1:])).toDF("tableIndex long, fileName string, rows int, cols int")
+        made = generate.random_logs(spark, numbered, a.logs, a.count, a.seed)
+        render.write_texts(render.edits_json(made, "log"), a.output, "body", "log")
     elif a.metric == "grid":
         left, right = (files.read_csv(spark, p).withColumn("name", name("doc_id")) for p in (a.parsed, a.truth))
         score.compare_files(left, right).show(truncate=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import EDITS
+from ..model import EDITS, let
 from . import render
 
 #: The six actions of a random log.
@@ -15,7 +15,8 @@ ACTIONS = ["edit", "remove_row", "remove_col", "add_row", "add_col", "merge"]
 def draw(n: Column | int, seed: int, *keys: Column | str) -> Column:
     """A number 0 .. n-1 that depends on the seed and the keys alone."""
     n = F.lit(n) if isinstance(n, int) else n
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.greatest(n.cast("long"), F.lit(1)))
+    key = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") if isinstance(k, Column) else F.col(k).cast("string") for k in keys])
+    return F.pmod(F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"), F.greatest(n.cast("long"), F.lit(1)))
 
 
 def random_edits(spark: SparkSession, dims: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -48,12 +49,21 @@ def random_edits(spark: SparkSession, dims: DataFrame, n: int, seed: int = 0) ->
     return df.select("seq", "fileName", "tableIndex", "action", F.lit(None).cast("string").alias("range"), details.alias("details"))
 
 
+def random_logs(spark: SparkSession, dims: DataFrame, logs: int = 50, each: int = 50, seed: int = 0) -> DataFrame:
+    """``logs`` lists of ``each`` instructions: those of ``random_edits``, with log and a seq that begins anew."""
+    log, seq = F.floor(F.col("seq") / each), F.col("seq") % each
+    return random_edits(spark, dims, logs * each, seed).withColumns({"log": log, "seq": seq})
+
+
 def random_html(grids: DataFrame, seed: int = 0, name_col: str = "doc_id") -> DataFrame:
-    """``grids`` with html: a look, glue and spare columns and line ends drawn by name and seed."""
+    """``grids`` with html, drawn by name and seed: look, line ends, glue and spare columns, widths, rules."""
     d = lambda n, tag: draw(n, seed, F.col(name_col), F.lit(tag))
-    grid = F.transform("grid", lambda r: render.glue_columns(r, (d(3, "g") + 2).cast("int")))
-    spare = F.transform(grid, lambda r: F.when(d(3, "s") > 0, render.spare_column(r, d(F.size(r) + 1, "p").cast("int"))).otherwise(r))
-    return grids.withColumn("html", render.table_html(spare, F.col(name_col), d(len(render.LOOKS), "l").cast("int"), widths=True))
+    made = F.col("grid")
+    made = F.when(d(2, "glue") == 0, F.transform(made, lambda r: render.glue_columns(r, (d(3, "g") + 2).cast("int")))).otherwise(made)
+    for k in range(2):  # none, one or two spare columns
+        made = let(made, lambda g, k=k: F.when(d(3, "s") > k, F.transform(g, lambda r: render.spare_column(r, d(F.size(r) + 1, f"p{k}").cast("int")))).otherwise(g))
+    look, lines = d(len(render.LOOKS), "l").cast("int"), d(3, "n").cast("int")
+    return grids.withColumn("html", render.table_html(made, F.col(name_col), look, widths=d(2, "w") == 0, lines=lines, rules=d(2, "z") == 0))
 
 
 def split_cells(grid: Column) -> Column:

@@ -77,17 +77,32 @@ def total_rule(v: Column) -> Column:
     return F.when(v.rlike(r"(?i)\b(total|subtotal|net)\b"), F.concat(F.lit("<u>"), v, F.lit("</u>"))).otherwise(v)
 
 
-def table_html(grid: Column, caption: Column | None = None, look: Column | None = None, widths: bool = False) -> Column:
-    """A table element: the first row th, the others td; cells are escaped."""
+def ruled(row: Column) -> Column:
+    """The style of a row with rules: black below a row that speaks of a total, else none to be seen."""
+    total = F.exists(row, lambda v: v.rlike(r"(?i)\b(total|subtotal|net)\b"))
+    return F.concat(F.lit(' style="border-bottom:0.75pt solid '), F.when(total, "#000").otherwise("transparent"), F.lit('"'))
+
+
+def table_html(grid: Column, caption: Column | None = None, look: Column | None = None, widths: bool | Column = False, lines: Column | None = None, rules: bool | Column = False) -> Column:
+    """A table element: the first row th, the others td; cells are escaped.
+
+    ``lines`` tells what becomes of line ends (``newline_html``), ``widths`` and
+    ``rules`` whether there are column widths and row rules.
+    """
     k = F.lit(0) if look is None else look
     style = F.element_at(F.array(*[F.lit(s) for _, s, _ in LOOKS]), k + 1)
     head = F.element_at(F.array(*[F.lit(h) for _, _, h in LOOKS]), k + 1)
-    row = lambda r, tag, attr: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda v: F.concat(F.lit(f"<{tag}"), attr, F.lit(">"), C.html_text(F.coalesce(v, F.lit(""))), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+    if lines is not None:
+        style = F.concat(style, F.when(lines > 0, ";white-space:pre-line").otherwise(""))
+    text = lambda v: C.html_text(F.coalesce(v, F.lit(""))) if lines is None else newline_html(C.html_text(F.coalesce(v, F.lit(""))), lines)
+    rule = (lambda r: F.lit("")) if rules is False else (lambda r: F.when(F.lit(rules) if rules is True else rules, ruled(r)).otherwise(""))
+    row = lambda r, tag, attr: F.concat(F.lit("<tr"), rule(r), F.lit(">"), F.array_join(F.transform(r, lambda v: F.concat(F.lit(f"<{tag}"), attr, F.lit(">"), text(v), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
     rows = F.transform(grid, lambda r, i: F.when(i == 0, row(r, "th", F.concat(F.lit(' style="'), head, F.lit('"')))).otherwise(row(r, "td", F.lit(""))))
     cap = F.lit("") if caption is None else F.concat(F.lit("<caption>"), C.html_text(caption), F.lit("</caption>"))
     cols = F.lit("")
-    if widths:
+    if widths is not False:
         cols = F.concat(F.lit("<colgroup>"), F.array_join(F.transform(column_widths(grid), lambda w: F.concat(F.lit('<col style="width:'), w.cast("decimal(5,1)").cast("string"), F.lit('%">'))), ""), F.lit("</colgroup>"))
+        cols = F.when(F.lit(True) if widths is True else widths, cols).otherwise("")
     return F.concat(F.lit('<table style="'), style, F.lit('">'), cap, cols, F.array_join(rows, ""), F.lit("</table>"))
 
 
@@ -115,12 +130,12 @@ def response_json(tables: DataFrame) -> DataFrame:
     return tables.groupBy("doc_id").agg(F.to_json(body).alias("body"))
 
 
-def edits_json(edits: DataFrame) -> DataFrame:
-    """(fileName, body): a file's instructions as one JSON array, in order."""
+def edits_json(edits: DataFrame, by: str = "fileName") -> DataFrame:
+    """(fileName, body): a file's instructions, or a log's, as one JSON array, in order."""
     item = F.struct("seq", "fileName", "tableIndex", "action", "range", "details")
     ordered = F.array_sort(F.collect_list(item))
     bare = F.transform(ordered, lambda x: F.struct(x["fileName"].alias("fileName"), x["tableIndex"].alias("tableIndex"), x["action"].alias("action"), x["range"].alias("range"), x["details"].alias("details")))
-    return edits.groupBy("fileName").agg(F.to_json(bare, {"ignoreNullFields": "false"}).alias("body"))
+    return edits.groupBy(by).agg(F.to_json(bare, {"ignoreNullFields": "false"}).alias("body"))
 
 
 def write_texts(df: DataFrame, path: str, text_col: str, *keys: str, mode: str = "overwrite") -> None:

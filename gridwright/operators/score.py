@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,34 +22,56 @@ def compare_files(parsed: DataFrame, truth: DataFrame, key: str = "name") -> Dat
     return grid_distances(both).select(key, "distance")
 
 
-def _post_order(html: str) -> tuple[list[str], list[int]]:
-    """Labels in post-order and each node's leftmost leaf, of the tree table > tr > td."""
+Node = tuple[str, int, int, str]
+
+
+def _post_order(html: str) -> tuple[list[Node], list[int]]:
+    """Nodes (tag, colspan, rowspan, text) in post-order and each one's leftmost leaf, of the tree table > tr > td."""
     from ..sources.html import parse
 
-    labels: list[str] = []
+    nodes: list[Node] = []
     left: list[int] = []
     for table in parse(html).tables[:1]:
         for row in table.rows:
-            first = len(labels)
+            first = len(nodes)
             for cell in row:
-                left.append(len(labels))
-                labels.append(f"td|{cell.colspan}|{cell.rowspan}|{cell.value()}")
-            left.append(first if row else len(labels))
-            labels.append("tr")
+                left.append(len(nodes))
+                nodes.append(("td", cell.colspan, cell.rowspan, cell.value()))
+            left.append(first)
+            nodes.append(("tr", 1, 1, ""))
         left.append(0)
-        labels.append("table")
-    return labels, left
+        nodes.append(("table", 1, 1, ""))
+    return nodes, left
+
+
+def text_distance(a: str, b: str) -> float:
+    """Edits from one text to the other, as a share of the longer one."""
+    if a == b:
+        return 0.0
+    last = list(range(len(b) + 1))
+    for x in a:
+        now = [last[0] + 1]
+        for k, y in enumerate(b):
+            now.append(min(now[k] + 1, last[k + 1] + 1, last[k] + (x != y)))
+        last = now
+    return last[-1] / max(len(a), len(b))
+
+
+def rename_cost(a: Node, b: Node) -> float:
+    """1 between unlike tags or spans, else the distance of the texts."""
+    return 1.0 if a[:3] != b[:3] else text_distance(a[3], b[3])
 
 
-def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]) -> int:
-    """Ordered tree edit distance with unit costs, over key roots."""
+def tree_distance(a: tuple[list[Node], list[int]], b: tuple[list[Node], list[int]]) -> float:
+    """Ordered tree edit distance over key roots: 1 for a node more or less, ``rename_cost`` for another."""
     (la, fa), (lb, fb) = a, b
+    cost = functools.cache(lambda s, t: rename_cost(la[s], lb[t]))
     roots = lambda first: sorted({leaf: k for k, leaf in enumerate(first)}.values())
-    dist = [[0] * len(lb) for _ in la]
+    dist = [[0.0] * len(lb) for _ in la]
     for i in roots(fa):
         for j in roots(fb):
             p, q = fa[i], fb[j]
-            forest = [[0] * (j - q + 2) for _ in range(i - p + 2)]
+            forest = [[0.0] * (j - q + 2) for _ in range(i - p + 2)]
             for x in range(1, i - p + 2):
                 forest[x][0] = x
             for y in range(1, j - q + 2):
@@ -58,10 +81,10 @@ def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]
                     s, t = p + x - 1, q + y - 1
                     drop = min(forest[x - 1][y], forest[x][y - 1]) + 1
                     if fa[s] == p and fb[t] == q:
-                        forest[x][y] = dist[s][t] = min(drop, forest[x - 1][y - 1] + (la[s] != lb[t]))
+                        forest[x][y] = dist[s][t] = min(drop, forest[x - 1][y - 1] + cost(s, t))
                     else:
                         forest[x][y] = min(drop, forest[fa[s] - p][fb[t] - q] + dist[s][t])
-    return dist[-1][-1] if la and lb else max(len(la), len(lb))
+    return dist[-1][-1] if la and lb else float(max(len(la), len(lb)))
 
 
 def tree_similarity(left: str, right: str) -> float:

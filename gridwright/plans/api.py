@@ -12,7 +12,7 @@ from ..sources import html
 def extract(filings: DataFrame, id_col: str = "doc_id", html_col: str = "html", with_sections: bool = False) -> DataFrame:
     """Clean tables (doc_id, tid, grid[, section]) of filings; documents without a table give none."""
     ready = filings.select(F.col(id_col).alias("doc_id"), prep.prepare(F.col(html_col)).alias("html"))
-    tables = html.html_tables(ready).select("doc_id", "tid", "grid").where(prep.has_value(F.col("grid")))
+    tables = html.html_tables(ready, indents=True).select("doc_id", "tid", "grid").where(prep.has_value(F.col("grid")))
     cleaned = clean.clean_filing(tables)
     if not with_sections:
         return cleaned

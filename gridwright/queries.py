@@ -77,19 +77,16 @@ def extract_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.to_csv(api.extract(supplier_filings(spark, sf_dir)))
 
 
-@query(SUPPLIER_SQL + """, lined as (select r_name, row, '| ' || cast(row as varchar) || ' | ' || c0 || ' | ' || c1 || ' | ' || case when row = 0 then c2 when starts_with(c2, '(') then '(' || regexp_replace(trim(c2, '()'), '(\\d)(?:(\\d{3}))$', '\\1,\\2') || ')' else c2 end || ' |' as line from grid)
-select r_name as doc_id, 1 as tid, count(*) as lines from lined group by 1""")
+@query(SUPPLIER_SQL + """, lined as (select r_name, row, '| ' || cast(row as varchar) || ' | ' || c0 || ' | ' || c1 || ' | ' || case when row = 0 then c2 when starts_with(c2, '(') then '(' || format('{:,}', try_cast(trim(c2, '()') as bigint)) || ')' else format('{:,}', try_cast(c2 as bigint)) end || ' |' as line from grid)
+select r_name as doc_id, 1 as tid, '<markdown tid="1">' || chr(10) || '|  | 0 | 1 | 2 |' || chr(10) || '|:---|:---|:---|:---|' || chr(10) || string_agg(line, chr(10) order by row) || chr(10) || '</markdown>' as markdown from lined group by 1""")
 def extract_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown keeps thousands signs; the SQL compares tables and their line counts."""
-    md = api.to_markdown(supplier_filings(spark, sf_dir))
-    return md.select("doc_id", "tid", (F.size(F.split("markdown", "\n")) - 4).cast("long").alias("lines"))
+    """Markdown keeps thousands signs."""
+    return api.to_markdown(supplier_filings(spark, sf_dir))
 
 
-@query("""select r_name as doc_id, '{"csv_tables":1,"map":"0,1"}' as body from region""")
+@query(SUPPLIER_SQL + """select r_name as doc_id, '{"csv_tables":["' || string_agg(c0 || ',' || c1 || ',' || c2, '\\n' order by row) || '"],"table_map":[0,1]}' as body from grid group by 1""")
 def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = render.response_json(api.extract(supplier_filings(spark, sf_dir)))
-    got = F.from_json("body", "struct<csv_tables:array<string>,table_map:array<int>>")
-    return made.select("doc_id", F.concat(F.lit('{"csv_tables":'), F.size(got["csv_tables"]), F.lit(',"map":"'), F.array_join(got["table_map"].cast("array<string>"), ","), F.lit('"}')).alias("body"))
+    return render.response_json(api.extract(supplier_filings(spark, sf_dir)))
 
 
 # --- rules for one cell or one row, over part ---
@@ -131,9 +128,9 @@ PART |= {
     "text_transform": (lambda: C.transform_text(F.col("p_name"), even("uppercase", "none")), _sql_even("upper(p_name)", "p_name")),
     "emphasis_marks": (lambda: C.emphasise(F.col("p_brand"), F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0), "(case when p_size % 3 = 0 then '*' else '' end) || (case when p_size % 2 = 0 then '**' else '' end) || p_brand || (case when p_size % 2 = 0 then '**' else '' end) || (case when p_size % 3 = 0 then '*' else '' end)"),
     "bold_toggle": (lambda: C.toggle_bold(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<b>"), F.col("p_brand"), F.lit("</b>"))).otherwise(F.col("p_brand"))), "case when p_size % 2 = 0 then p_brand else '<b>' || p_brand || '</b>' end"),
-    "css_lookup": (lambda: C.css_value(F.concat(F.lit("margin:1pt 2pt; text-align: right ;margin-left:"), S("p_size"), F.lit("pt")), "text-align"), "'right'"),
+    "css_lookup": (lambda: C.css_value(F.concat(F.lit("margin:1pt 2pt; text-align: "), even("right", "left"), F.lit(" ;margin-left:"), S("p_size"), F.lit("pt")), "text-align"), _sql_even("'right'", "'left'")),
     "css_points": (lambda: C.css_points(F.concat(F.lit("margin:1pt 2pt;margin-left:0 "), S("p_size"), F.lit("pt")), "margin-left").cast("int").cast("string"), "cast(p_size as varchar)"),
-    "judge_comma": (lambda: C.same_cell(F.format_number(_cents(), 0), _cents().cast("string"), True).cast("string"), "'true'"),
+    "judge_comma": (lambda: C.same_cell(F.format_number(_cents(), 0), F.concat(_cents().cast("string"), even("", "1")), True).cast("string"), _sql_even("'true'", "'false'")),
     "csv_field": (lambda: C.csv_field(F.concat(F.col("p_brand"), even(', "x"', " y"))), _sql_even("'\"' || p_brand || ', \"\"x\"\"\"'", "p_brand || ' y'")),
     "range_syntax": (lambda: F.to_json(C.cell_range(F.concat(F.lit("[1:"), S("p_size"), F.lit(", 0:3]")))), "'{\"r0\":1,\"r1\":' || cast(p_size as varchar) || ',\"c0\":0,\"c1\":3}'"),
     "paragraph_indent": (lambda: F.length(prep.paragraph_indent(F.col("p_size"))).cast("string"), "cast(case when p_size < 12 then 0 else (p_size - 12) // 12 * 4 end as varchar)"),
@@ -181,9 +178,9 @@ GRID_RULES: dict[str, tuple[Callable[[Column], Column], str]] = {
     "drop_empty_cols": (clean.drop_empty_cols, "case when c_custkey % 3 = 0 then 'h,a' || chr(10) || ',' || chr(10) || c_name || ',1' else 'h,,a' || chr(10) || ',,' || chr(10) || c_name || ',x,1' end"),
     "drop_empty_rows": (clean.drop_empty_rows, "'h,,a' || chr(10) || c_name || case when c_custkey % 3 = 0 then ',,1' else ',x,1' end"),
     "drop_body_empty_cols": (lambda g: clean.drop_body_empty_cols(F.concat(g, F.array(row("t", "", "")))), "'h' || chr(10) || '' || chr(10) || c_name || chr(10) || 't'"),
-    "size_gate": (lambda g: F.array(row(F.when(clean.big_enough(g), "kept").otherwise("gone"))), "'kept'"),
-    "title_rows": (lambda g: F.array(row(clean.title_rows(F.concat(F.array(row("A title", "", ""), row("Year ended", "", "")), g)).cast("string"))), "'1'"),
-    "data_offset": (lambda g: F.array(row(clean.data_offset(g).cast("string"))), "'1'"),
+    "size_gate": (lambda g: F.array(row(F.when(clean.big_enough(F.when(F.col("c_custkey") % 3 == 0, F.slice(g, 1, 1)).when(F.col("c_custkey") % 3 == 1, F.transform(g, lambda r: F.slice(r, 1, 1))).otherwise(g)), "kept").otherwise("gone"))), "case when c_custkey % 3 = 2 then 'kept' else 'gone' end"),
+    "title_rows": (lambda g: F.array(row(clean.title_rows(F.concat(F.array(row("A title", "", ""), row(F.when(F.col("c_custkey") % 3 == 0, "Year Ended").otherwise("Second"), "", "")), g)).cast("string"))), "case when c_custkey % 3 = 0 then '1' else '2' end"),
+    "data_offset": (lambda g: F.array(row(clean.data_offset(F.concat(g, F.when(F.col("c_custkey") % 3 == 0, F.array(row("", "", "9"))).when(F.col("c_custkey") % 3 == 1, F.array(row("", "", ""))).otherwise(g))).cast("string"))), "case c_custkey % 3 when 0 then '3' when 1 then '0' else '1' end"),
     "markdown_table": (lambda g: F.array(row(F.replace(render.markdown_text(g), F.lit("\n"), F.lit("/")))), "'|  | 0 | 1 | 2 |/|:---|:---|:---|:---|/| 0 | h |  | a |/| 1 |  |  |  |/| 2 | ' || c_name || case when c_custkey % 3 = 0 then ' |  | 1 |' else ' | x | 1 |' end"),
     "width_ratios": (lambda g: F.array(row(F.array_join(F.transform(render.column_widths(g), lambda w: w.cast("decimal(5,1)").cast("string")), " "))), "case when c_custkey % 3 = 0 then '47.9 4.1 47.9' else '33.3 33.3 33.3' end"),
     "bold_range": (lambda g: edits.bold_range(g, _rng(0, 1, 0, 2)), "'<b>h</b>,<b></b>,a' || chr(10) || ',,' || chr(10) || c_name || case when c_custkey % 3 = 0 then ',,1' else ',x,1' end"),
@@ -251,12 +248,22 @@ def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation_grids(spark, sf_dir).select("tid", render.table_html(F.col("grid"), F.concat(F.lit("R"), S("tid"))).alias("html"))
 
 
-@query("select 5 as tables, 25 as lines")
+@query("""with t as (select n_regionkey as tid, '<table style="border-collapse:collapse">' || string_agg(case when k = 1 then '<tr><th style="font-weight:bold">' || n_name || '</th><th style="font-weight:bold">' || n_nationkey || '</th></tr>' else '<tr><td>' || n_name || '</td><td>' || n_nationkey || '</td></tr>' end, '' order by n_nationkey) || '</table>' as html from (select *, row_number() over (partition by n_regionkey order by n_nationkey) k from nation) group by 1)
+select case when tid % 2 = 0 then 'even' else 'odd' end as name, '<!DOCTYPE html><html><head><meta charset=''utf-8''></head><body>' || chr(10) || string_agg(html, chr(10) order by tid) || chr(10) || '</body></html>' as html from t group by 1""")
 def document_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = nation_grids(spark, sf_dir).select(F.lit("all").alias("name"), S("tid").alias("path"), render.table_html(F.col("grid")).alias("html"))
-    whole = render.document_html(parts, "name")
-    count = lambda word: F.regexp_count("html", F.lit(word))
-    return whole.select(count("<table").alias("tables"), count("<tr>").alias("lines"))
+    """Two documents of two or three tables each."""
+    name = F.when(F.col("tid") % 2 == 0, "even").otherwise("odd")
+    return render.document_html(nation_grids(spark, sf_dir).select(name.alias("name"), S("tid").alias("path"), render.table_html(F.col("grid")).alias("html")), "name")
+
+
+_RULED = """'<tr style="border-bottom:0.75pt solid ' || case when k % 2 = 0 then '#000' else 'transparent' end || '">'"""
+
+
+@query(f"""select n_regionkey as tid, '<table style="border-collapse:collapse;white-space:pre-line">' || string_agg({_RULED} || case when k = 1 then '<th style="font-weight:bold">' || n_name || '</th><th style="font-weight:bold">a<br>&amp;b</th></tr>' else '<td>' || n_name || '</td><td>' || case when k % 2 = 0 then 'Net&lt;' else 'Network' end || '</td></tr>' end, '' order by n_nationkey) || '</table>' as html from (select *, row_number() over (partition by n_regionkey order by n_nationkey) k from nation) group by 1""")
+def ruled_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with rules, black below totals; line ends as breaks; everything else escaped."""
+    grid = F.transform("grid", lambda r, i: F.array(F.get(r, F.lit(0)), F.when(i == 0, "a\n&b").when(i % 2 == 1, "Net<").otherwise("Network")))
+    return nation_grids(spark, sf_dir).select("tid", render.table_html(grid, lines=F.lit(1), rules=True).alias("html"))
 
 
 @query("select c_custkey, c_name || ',,1200' || chr(10) || 'x,(5),' as csv from customer")
@@ -318,14 +325,27 @@ def doc_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", C.clean_space(F.col("html")).alias("html"))
 
 
-@query()
+#: Blocks of the pages by text replacement alone: every block tag ends a text, br is a space, other tags are nothing.
+_BLOCKS_SQL = r"""with bare as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!.*?>', '', 'g'), '(?i)<br[^>]*>', ' ', 'g'), '(?i)<a [^>]*href[^>]*>', chr(3), 'g') as t from pages),
+marked as (select page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)<(p|div|h[1-6]|li|title|td|th|caption|pre|blockquote)( [^>]*)?>', chr(1) || '\1' || chr(2), 'g'), '(?i)</(p|div|h[1-6]|li|title|td|th|caption|pre|blockquote) *>', chr(1) || chr(2), 'g'), '<[^>]*>', '', 'g') as t from bare),
+parts as (select page_id, unnest(string_split(t, chr(1))) as part, generate_subscripts(string_split(t, chr(1)), 1) as n from marked),
+blocks as (select page_id, n, case when contains(part, chr(2)) then split_part(part, chr(2), 1) else '' end as tag, contains(part, chr(3)) as has_links,
+ trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(case when contains(part, chr(2)) then split_part(part, chr(2), 2) else part end, chr(3), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'), '[\s\x{00a0}]+', ' ', 'g')) as text from parts),
+el as (select page_id, cast(row_number() over (partition by page_id order by n) - 1 as int) as pos, tag, text, has_links from blocks where text <> '')
+"""
+
+
+@query(_BLOCKS_SQL + """select cast(page_id as varchar) as doc_id, pos, 0 as page, case when tag in ('h1','h2','h3','h4','h5','h6','title') then 'Title' when tag = 'li' then 'ListItem' else 'Text' end as category, tag, text, has_links, cast(null as int) as tid from el""")
 def doc_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.html_elements(table(spark, sf_dir, "pages"), "page_id")
 
 
-@query("select page_id, '10-Q' as form from pages")
+@query("select page_id, case when page_id % 3 < 2 then '10-K' else '10-Q' end as form from pages")
 def form_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", prep.form_of(F.col("html")).alias("form"))
+    """By a tag of its own, by the form that is named first, or by none."""
+    k = F.col("page_id") % 3
+    lead = F.when(k == 0, "<10K>").when(k == 1, "<p>FORM&nbsp;10-K</p><p>not Form 10-Q</p>").otherwise("<p>reform 10-K</p><p>Form 10-Q</p><p>Form 10-K</p>")
+    return table(spark, sf_dir, "pages").select("page_id", prep.form_of(F.concat(lead, F.col("html"))).alias("form"))
 
 
 @query("select page_id, case when page_id % 2 = 0 then '10-K' else '10-Q' end as form from pages")
@@ -336,16 +356,34 @@ def form_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", prep.form_of(text).alias("form"))
 
 
-@query()
+@query(_BLOCKS_SQL + """select cast(page_id as varchar) as doc_id, pos, 'tag' || pos as anchor, array_to_string(string_split(text, ' ')[1:10], ' ') as words from (select *, count(*) over (partition by page_id, text) as times from el) where times = 1 and pos % 6 = 0""")
 def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.anchors(html.html_elements(table(spark, sf_dir, "pages"), "page_id"))
 
 
-@query("select page_id, 0 as tables from pages where false")
+@query("""select n_name as doc_id, '<html><body><p id="tag0" class="a">' || n_name || ' zero</p><p>1</p><p>2</p><p>3</p><p>4</p><p>5</p><div>six and<b>more</b></div><p>7</p><p>8</p><p>9</p><p>10</p><p>11</p><p>twice</p><p>13</p><p>14</p><p>15</p><p>16</p><p>twice</p><div id="tag1"><i>a b</i></div></body></html>' as html from nation""")
+def anchored_filing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks 0, 6, 12 and 18: the first words of block 6 are cut by a tag, 12 occurs twice, 18 begins behind a tag within."""
+    texts = [F.lit('<html><body><p class="a">'), F.col("n_name"), F.lit(" zero</p>" + "".join(f"<p>{k}</p>" for k in range(1, 6)) + "<div>six and<b>more</b></div>" + "".join(f"<p>{k}</p>" for k in range(7, 12)) + "<p>twice</p>" + "".join(f"<p>{k}</p>" for k in range(13, 17)) + "<p>twice</p><div><i>a b</i></div></body></html>")]
+    return html.anchored(table(spark, sf_dir, "nation").select(F.col("n_name").alias("doc_id"), F.concat(*texts).alias("html")))
+
+
+@query("""select page_id, 1 as tid, 'page,url,views' || chr(10) || page_id || ',' || url || ',' || page_id * 1000 || chr(10) || 'sum,,' || '(7)' as csv from pages""")
 def tables_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages hold no table: the extraction must be empty, not fail."""
-    found = api.extract(table(spark, sf_dir, "pages"), "page_id")
-    return found.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.count("*").cast("int").alias("tables"))
+    """Every page with a table at its end, its cells split as filings do."""
+    grid = F.array(row("page", "url", "views"), F.array(S("page_id"), F.col("url"), F.format_number(F.col("page_id") * 1000, 0)), row("sum", "", "(7)"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.replace(F.replace("html", F.lit("</body>"), F.lit("")), F.lit("</html>"), F.lit("")), render.table_html(generate.split_cells(grid)), F.lit("</html>")).alias("html"))
+    found = api.extract(pages, "page_id")
+    return found.select(F.col("doc_id").cast("long").alias("page_id"), "tid", render.csv_text(F.col("grid")).alias("csv"))
+
+
+@query("""select n_name as doc_id, 1 as tid, n_name || ',2020' || chr(10) || 'a,1' || chr(10) || ' b,2' || chr(10) || 'c,3' || chr(10) || ' d,4' as csv from nation""")
+def extract_indents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of paragraphs 24 points in, or of divisions with a text indent, keep one space of it."""
+    line = "<tr><td>{}</td><td>{}</td></tr>"
+    body = [("<p style='margin-left:12pt;'>a</p>", 1), ("<p style='color:red;margin-left:24pt;'>b</p>", 2), ("<div style='text-indent:6pt'>c</div>", 3), ("<div style='text-indent:13.5pt'>d</div>", 4)]
+    text = F.concat(F.lit("<html><body><table><tr><td>"), F.col("n_name"), F.lit("</td><td>2020</td></tr>" + "".join(line.format(*x) for x in body) + "</table></body></html>"))
+    return api.to_csv(api.extract(table(spark, sf_dir, "nation").select(F.col("n_name").alias("doc_id"), text.alias("html"))))
 
 
 # --- sections, over headings made for every nation ---
@@ -579,11 +617,14 @@ def lev_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.grid_distances(pairs).select("p_partkey", "distance")
 
 
-@query("select n_regionkey as tid, cast(round((1 - 1.0 / (1 + count(*) + 2 * count(*))) * 1000000) as bigint) as micro from nation group by 1")
+@query("""select n_regionkey as tid, cast(round((1 - (sum(case when k = 2 then 1.0 * levenshtein(n_name, 'CHANGED') / greatest(length(n_name), 7) else 0 end) + case when n_regionkey % 2 = 0 then 3 else 0 end)
+ / (1 + 3 * count(*) + case when n_regionkey % 2 = 0 then 3 else 0 end)) * 1000000) as bigint) as micro from (select *, row_number() over (partition by n_regionkey order by n_nationkey) as k from nation) group by 1""")
 def teds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table against itself with one cell changed: one edit over all nodes."""
+    """A table against itself with one cell changed and, in every second one, a row more."""
     g = nation_grids(spark, sf_dir)
-    other = F.transform("grid", lambda r, i: F.when(i == 1, F.array(F.lit("changed"), F.get(r, F.lit(1)))).otherwise(r))
+    other = F.transform("grid", lambda r, i: F.when(i == 1, F.array(F.lit("CHANGED"), F.get(r, F.lit(1)))).otherwise(r))
+    more = F.when(F.col("tid") % 2 == 0, F.array(F.array(F.lit("1234567890"), F.lit("#")))).otherwise(F.array().cast("array<array<string>>"))
+    other = F.concat(other, more)
     pairs = g.select("tid", render.table_html(F.col("grid")).alias("html1"), render.table_html(other).alias("html2"))
     return score.teds(pairs).select("tid", F.round(F.col("teds") * 1000000).cast("long").alias("micro"))
 
@@ -614,7 +655,22 @@ def styled_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("doc_id").cast("int").alias("doc_id"), "tid", F.col("text").alias("csv"))
 
 
-@query()
+def _draw(n: str | int, tag: str) -> str:
+    return f"(cast('0x' || substr(md5(concat_ws(':', '7', cast(seq as varchar), '{tag}')), 1, 15) as bigint) % {n})"
+
+
+#: The generator's draws over tables of 8 rows and 4 columns, written out.
+_EDITS_SQL = f"""with s as (select unnest(range(2500)) as seq),
+t as (select seq, {_draw(25, "t")} + 1 as "tableIndex", ['edit', 'remove_row', 'remove_col', 'add_row', 'add_col', 'merge'][{_draw(6, "a")} + 1] as action,
+ {_draw(7, "r")} + 1 as r, {_draw(4, "c")} as c, cast({_draw(100000, "v")} as varchar) as v, {_draw(100, "f")} as f, {_draw(3, "k")} as k, {_draw(10, "n")} as n, {_draw(2, "m")} as m,
+ {_draw(7, "i")} as ir, {_draw(3, "i")} as ic, {_draw(3, "q")} + 1 as qr, {_draw(2, "q")} + 1 as qc, substr(translate(md5(cast(seq as varchar)), '0123456789', 'ghijklmnop'), 1, 6) as letters from s)
+select seq, n_name as "fileName", "tableIndex", action, case when action = 'edit' then '{{"row":' || r || ',"col":' || c || case when n < 2 then '' else ',"newVal":"' || case k when 0 then v when 1 then v || '.' || f else letters end || '"' end || '}}'
+ when action = 'merge' then '{{"index":' || case when m = 0 then ir else ic end || ',"isRow":' || case when m = 0 then 'true' else 'false' end || '}}'
+ else '{{"index":' || case when ends_with(action, '_row') then r else c end || ',"amount":' || case when ends_with(action, '_row') then qr else qc end || '}}' end as details
+from t join nation on n_nationkey + 1 = "tableIndex" """
+
+
+@query(_EDITS_SQL)
 def random_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("tableIndex"), F.col("n_name").alias("fileName"), F.lit(8).alias("rows"), F.lit(4).alias("cols"))
     return generate.random_edits(spark, dims, 2500, seed=7).select("seq", "fileName", "tableIndex", "action", F.to_json("details").alias("details"))

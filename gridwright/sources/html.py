@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -50,6 +51,17 @@ def indent_of(style: str) -> float:
     return base + max(first, 0.0)
 
 
+def indent_marker(tag: str, style: str) -> str:
+    """What an indented paragraph or division begins with: four markers for each step of its indent."""
+    if tag == "p":
+        found = re.search(r"margin-left:(\d+)pt;", style)
+        steps = (int(found[1]) - 12) // 12 if found else 0
+    else:
+        found = re.search(r"text-indent:(\d*\.?\d+)pt", style)
+        steps = int(float(found[1]) / 6.75) if found else 0
+    return "&nbsp;" * (4 * max(steps, 0))
+
+
 def _span(attrs: dict[str, str | None], name: str) -> int:
     digits = re.match(r"\s*(\d+)", attrs.get(name) or "")
     return min(max(int(digits[1]), 1), MOST_SPAN[name]) if digits else 1
@@ -110,11 +122,13 @@ class FilingParser(HTMLParser):
     """Collects every table (nested ones too) and the sequence of block elements.
 
     Unclosed td, tr and p end where the next begins.  A table's number is its
-    place among all tables of the document, from 1.
+    place among all tables of the document, from 1.  With ``indents`` the text of
+    an indented paragraph or division in a table begins with ``indent_marker``.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, indents: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.indents = indents
         self.tables: list[_Table] = []
         self.open: list[_Table] = []
         self.elements: list[dict] = []
@@ -163,6 +177,8 @@ class FilingParser(HTMLParser):
                 self.links += 1
             if tag in ("br", "p", "div"):
                 self._text(" ")
+            if self.indents and tag in ("p", "div"):
+                self._text(indent_marker(tag, attrs.get("style") or ""))
         elif tag in BLOCKS:
             self._end_block()
             self.block = {"category": "Title" if tag in TITLES else "ListItem" if tag == "li" else "Text", "tag": tag, "page": self.page, "has_links": False, "tid": None, "parts": []}
@@ -209,8 +225,8 @@ class FilingParser(HTMLParser):
         return self
 
 
-def parse(html: str | None) -> FilingParser:
-    parser = FilingParser()
+def parse(html: str | None, indents: bool = False) -> FilingParser:
+    parser = FilingParser(indents)
     parser.feed(html or "")
     return parser.finish()
 
@@ -221,8 +237,11 @@ def _schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def html_tables(filings: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
-    """(doc_id, tid, grid, styled) of every table; filter ``filings`` first, nothing is pushed below."""
+def html_tables(filings: DataFrame, id_col: str = "doc_id", html_col: str = "html", indents: bool = False) -> DataFrame:
+    """(doc_id, tid, grid, styled) of every table; filter ``filings`` first, nothing is pushed below.
+
+    With ``indents`` the cells of indented paragraphs begin with a marker.
+    """
     schema = _schema(filings.sparkSession, TABLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +249,7 @@ def html_tables(filings: DataFrame, id_col: str = "doc_id", html_col: str = "htm
             rows = [
                 {"doc_id": d, "tid": t.tid, "grid": t.grid(), "styled": [[c.styled() for c in r] for r in t.rows]}
                 for d, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                for t in parse(h).tables
+                for t in parse(h, indents).tables
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -249,6 +268,41 @@ def html_elements(filings: DataFrame, id_col: str = "doc_id", html_col: str = "h
     return filings.select(F.col(id_col).cast("string").alias("doc_id"), F.col(html_col).alias("html")).mapInArrow(run, ELEMENTS)
 
 
+def set_anchors(html: str | None, every: int = 6) -> str | None:
+    """``html`` with an id for every sixth block that is no table and whose text occurs once.
+
+    The block is sought by its first ten words behind a tag's end; the id, tag0
+    and on, goes to the last start of the block's own tag before them.  Blocks
+    that aren't found so are passed over.
+    """
+    elements = parse(html).elements
+    times = Counter(e["text"] for e in elements)
+    places = []
+    for e in elements[::every]:
+        words = " ".join(e["text"].split(" ")[:10])
+        behind = (html or "").find(">" + words) if e["tag"] and e["category"] != "Table" and times[e["text"]] == 1 else -1
+        start = html.rfind("<" + e["tag"], 0, behind) if behind > 0 else -1
+        if start >= 0:
+            places.append((start + 1 + len(e["tag"]), len(places)))
+    out, end = [], 0
+    for place, k in sorted(places):
+        out += [html[end:place], f' id="tag{k}"']
+        end = place
+    return "".join([*out, html[end:]]) if places else html
+
+
+def anchored(filings: DataFrame, html_col: str = "html") -> DataFrame:
+    """``filings`` whose HTML has the ids of ``set_anchors``; a null stays null."""
+    place = filings.columns.index(html_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array(map(set_anchors, batch.column(place).to_pylist()), batch.schema.field(place).type)
+            yield batch.set_column(place, html_col, made)
+
+    return filings.mapInArrow(run, filings.schema)
+
+
 @udtf(returnType="tid int, row int, col int, value string")
 class HtmlCells:
     """SQL: ``FROM filings, LATERAL html_cells(html)``."""

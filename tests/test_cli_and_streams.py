@@ -1,5 +1,6 @@
 """The command line on small files and the streaming forms."""
 
+import json
 import pathlib
 
 from pyspark.sql import functions as F
@@ -48,3 +49,22 @@ def test_stream_of_pages(spark, tmp_path):
     q = made.select("doc_id", "tid", F.size("grid").alias("n")).writeStream.format("memory").queryName("tables").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.table("tables").collect()] == [("7", 1, 2)]
+
+
+def test_random_logs(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.csv").write_text("h,i\n1,2\n3,4\n")
+    main(["random-edits", str(tmp_path), "--output", str(tmp_path / "logs"), "--logs", "3", "--count", "20", "--tables", "2"])
+    logs = [json.loads(t) for t in texts(tmp_path / "logs")]
+    assert [len(x) for x in logs] == [20] * 3 and {e["fileName"] for x in logs for e in x} == {"a", "b"}
+
+
+def test_score_of_files(spark, tmp_path, capsys):
+    for folder, value in (("p", "1"), ("t", "2")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text(f"h,i\n{value},2\n")
+        (tmp_path / folder / "x.htm").write_text(HTML)
+    main(["score", str(tmp_path / "p" / "x.csv"), str(tmp_path / "t" / "x.csv")])
+    assert "|x   |1       |" in capsys.readouterr().out
+    main(["score", str(tmp_path / "p" / "x.htm"), str(tmp_path / "t" / "x.htm"), "--metric", "tree"])
+    assert "|x   |1.0 |" in capsys.readouterr().out

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridwright.functions import rows as R
-from gridwright.operators import clean, score
+from gridwright.operators import clean, generate, score
 from gridwright.sources import files, html
 
 CELL = st.sampled_from(["", "a", "1", "(2", ")", "%", "$", "–", "3.0"])
@@ -127,3 +127,33 @@ def test_form_is_read_from_the_whole_text(spark):
     df = spark.createDataFrame(rows, "id long, html string, want string")
     got = df.select("id", "want", prep.form_of(F.col("html")).alias("form")).collect()
     assert {r.id: r.form for r in got} == {r.id: r.want for r in got}
+
+
+def test_tree_similarity_by_text():
+    """A renamed cell costs the distance of its texts, another span a whole node."""
+    one = "<table><tr><td>abcd</td><td>x</td></tr></table>"
+    assert score.tree_similarity(one, one.replace("abcd", "abxd")) == 1 - 0.25 / 4
+    assert score.tree_similarity(one, one.replace("<td>x", "<td colspan=2>x")) == 1 - 1 / 4
+    assert score.tree_similarity(one, "") == 0 and score.tree_similarity("", "") == 1
+
+
+def test_indent_markers():
+    text = "<table><tr><td><p style='margin-left:36pt;'>a</p></td><td><p style='margin-left: 36pt;'>b</p></td><td><div style='text-indent:.5pt'>c</div></td></tr></table>"
+    assert html.parse(text, indents=True).tables[0].grid() == [["&nbsp;" * 8 + " a", "b", "c"]]
+    assert html.parse(text).tables[0].grid() == [["a", "b", "c"]]
+
+
+def test_anchors_of_odd_pages():
+    assert html.set_anchors(None) is None and html.set_anchors("") == "" and html.set_anchors("bare text") == "bare text"
+    assert html.set_anchors("<p>a</p>") == '<p id="tag0">a</p>'
+
+
+def test_random_html_parses_back(spark):
+    """Whatever is drawn, the values of a table are found in it again."""
+    grids = spark.createDataFrame([(f"t{k}", [["h", "Total"], ["a & b", "1,000"], ["Net", "x\ny"]]) for k in range(60)], "doc_id string, grid array<array<string>>")
+    made = generate.random_html(grids, seed=5).collect()
+    for r in made:
+        rows = html.parse(r.html).tables[0].grid()
+        assert [[v for v in line if v] for line in rows] == [["h", "Total"], ["a & b", "1,000"], ["Net", "x y"]]
+    drawn = [("<br>" in r.html, "colgroup" in r.html, "#000" in r.html, r.html.count(" ")) for r in made]
+    assert len({d[0] for d in drawn}) == len({d[1] for d in drawn}) == 2 and len({d[3] for d in drawn}) > 2

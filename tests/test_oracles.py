@@ -7,7 +7,7 @@ import pytest
 
 from gridwright import queries as base
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
