@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 #: Paths of this process's stashed tables, oldest first.
 STASHED: list[str] = []
+#: Bits of a sieve, as a power of two, at most: 8 MB.  A fuller sieve passes more rows, never fewer.
+SIEVE = 26
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -68,6 +74,33 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def sieve(hashes: DataFrame, name: str = "marks") -> tuple[DataFrame, Callable[[Column], Column]]:
+    """A broadcast row of marks and the condition by which a 64-bit hash passes: all of ``hashes``, its one column, do.
+
+    Of other hashes a twelfth or so pass too, so a join on the hash has to follow;
+    what the sieve holds back need not be shuffled for it.
+    """
+    spark, (of,) = hashes.sparkSession, hashes.columns
+    size = min(SIEVE, max(10, math.ceil(math.log2(8 * hashes.count() + 1))))
+
+    def bit(place: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+
+    at = F.shiftrightunsigned(F.col(of), 64 - size)
+    found = hashes.select(F.shiftright(at, 6).alias("word"), bit(at).alias("bit"))
+    found = found.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << (size - 6), np.int64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy()
+    row = spark.createDataFrame(pa.table({name: pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words))}))
+
+    def passes(h: Column) -> Column:
+        place = F.shiftrightunsigned(h, 64 - size)
+        word = F.col(name)[F.shiftright(place, 6).cast("int")]
+        return word.bitwiseAND(bit(place)) != 0
+
+    return F.broadcast(row), passes
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array; null and empty texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

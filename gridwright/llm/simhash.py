@@ -12,13 +12,13 @@ of copies, however large, is one row.
 One 64-bit fingerprint can't tell a word-shingle similarity of 0.8: such texts
 differ in 10 bits of 64.  ``drop_near_duplicates`` therefore hashes balls in
 BLOCKS fingerprints of 32 bits each, at 2 bits, and verifies the pairs that
-collide on their whole shingle sets.
+collide on their whole shingle sets.  These are shuffled on each of PARTS.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, id_or_digest, stash
+from .common import free_name, id_or_digest, sieve, stash
 
 BITS = 64
 #: Variants that a task holds at once; prefixes are as long as this asks.
@@ -37,16 +37,24 @@ HELD = 1 << 16
 #: Fingerprints of a text's shingle set, their bits, and the bits in which two may differ to meet.
 #: Texts of similarity 0.8 meet in one of them with a probability of 0.98, of 0.85 of 0.9996.
 BLOCKS, WIDE, NEAR = 32, 32, 2
-#: Texts that meet are compared in 96 bits, later in all 1024.  In more than FAR they are no candidates (similarity
-#: 0.8 has 14.5 of 96 and 155 of 1024 on average, with deviations of 3.5 and 11.5); one within TIGHT of another needs no
-#: turn of its own against further texts.
-FAR, TIGHT = 28, 9
+#: The bits in parts: two fingerprints that differ in NEAR bits agree in one of NEAR + 1 parts.
+PARTS = (range(11), range(11, 22), range(22, WIDE))
+#: Texts that meet are compared in 96 bits, later in all 1024.  In more than FAR they are no candidates (similarity 0.8,
+#: met within NEAR bits, has 11.4 of 96 on average, with a deviation of 2.9, and 155 of 1024, with 11.5; of unlike texts
+#: that meet by chance 0.4 % are within FAR); one within WHOLE_TIGHT of another needs no turn against further texts.
+FAR = 23
 WHOLE_FAR, WHOLE_TIGHT = 190, 64
 _RNG = np.random.default_rng(20)
 _TIMES = _RNG.integers(0, 1 << 63, BLOCKS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RNG.integers(0, 1 << 63, BLOCKS // 2, dtype=np.uint64)
 
 
+#: What is sent of a text in the two meetings, and for each part the columns of fingerprints that go there.
+_SHORT = np.dtype([("node", "<i8"), ("block", "<u4"), ("rest", "<u8")])
+_LONG = np.dtype([("node", "<i8"), ("words", "<u8", (BLOCKS // 2,))])
+_GOES = [f"goes_{p}" for p in range(len(PARTS))]
+
+
 def fingerprint(text: str | None, width: int = 4) -> int:
     """64-bit SimHash of the word shingles of one whole text, as an unsigned integer."""
     from xxhash import xxh64_intdigest
@@ -86,11 +94,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_or_digest(id_col, text_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _masks(bits: range, most: int) -> np.ndarray:
+def _masks(bits: Iterable[int], most: int) -> np.ndarray:
     """XOR masks of up to ``most`` of these bits, in order of the number of bits."""
     return np.array([sum(1 << b for b in c) for n in range(most + 1) for c in combinations(bits, n)], np.uint64)
 
 
+#: Masks of the parts, and of up to half of NEAR bits beside each part.
+_PART_MASKS = [np.uint64(sum(1 << b for b in part)) for part in PARTS]
+_BALLS = [_masks([b for b in range(WIDE) if b not in part], NEAR // 2) for part in PARTS]
+
+
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest index in each index's component of the graph with edges a-b."""
     root = np.arange(n)
@@ -287,36 +300,28 @@ def _closest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> tupl
     return a[kept], b[kept], d[kept]
 
 
-def _meetings(words: np.ndarray, node: np.ndarray, moved: np.ndarray, spent: np.ndarray, inner: list[np.ndarray], far: int, tight: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _meetings(fps: np.ndarray, words: list[np.ndarray], ball: np.ndarray, far: int, tight: int, apart: list[np.uint64]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, row, differing bits) of rows that share a variant and differ in ``far`` bits of ``words`` or fewer.
 
-    moved: a row's fingerprint with the prefix it was sent to; spent: the bits in
-    which that differs.  In each bucket of equal variants the first row is
-    compared with all others; rows not within ``tight`` bits of it take their turn
-    as first.  So a tight group costs its size, and no pair of a loose one is left
-    out.  Variants are sorted in slices by their low bits: memory stays bounded.
+    fps: fingerprints of 32 bits; ball: the masks that make their variants; apart:
+    masks in each of which the two fingerprints must differ.  In each bucket of
+    equal variants the first row is compared with all others; rows not within
+    ``tight`` bits of it take their turn as first.  So a tight group costs its
+    size, and no pair of a loose one is left out.  A variant and its row are one
+    number, sorted in slices by a hash of the variant: memory stays bounded.
     """
-    half = len(inner) - 1
-    total = sum(int((spent == k).sum()) * len(inner[half - k]) for k in range(half + 1))
-    cut = max(0, math.ceil(math.log2(max(1, total) / SLICE)))
-    low = np.uint64((1 << cut) - 1)
+    own, masks, row_bits = fps << np.uint64(32) | np.arange(len(fps), dtype=np.uint64), ball << np.uint64(32), np.uint64((1 << 32) - 1)
+    cut = max(0, math.ceil(math.log2(max(1, len(own) * len(masks)) / SLICE)))
+    step = max(1, SLICE // len(masks))
     for part in range(1 << cut):
-        variants, rows = [], []
-        for k in range(half + 1):
-            at, masks = np.flatnonzero(spent == k), inner[half - k]
-            step = max(1, SLICE // len(masks))
-            for j in range(0, len(at), step):
-                v = moved[at[j : j + step]][:, None] ^ masks[None, :]
-                r = np.broadcast_to(at[j : j + step][:, None], v.shape)
-                keep = (v & low) == part if cut else slice(None)
-                variants.append(v[keep].ravel())
-                rows.append(r[keep].ravel())
-        v, r = np.concatenate(variants), np.concatenate(rows)
-        order = np.argsort(v, kind="stable")
-        v, r = v[order], r[order]
-        same = v[1:] == v[:-1]
-        met = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        bucket, r = v[met], r[met]
+        held = [np.zeros(0, np.uint64)]
+        for j in range(0, len(own), step):
+            v = (own[j : j + step, None] ^ masks).ravel()
+            held.append(v[(v >> np.uint64(32)) * _TIMES[0] >> np.uint64(64 - cut) == part] if cut else v)
+        v = np.sort(np.concatenate(held))
+        same = v[1:] >> np.uint64(32) == v[:-1] >> np.uint64(32)
+        v = v[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        bucket, r = v >> np.uint64(32), (v & row_bits).astype(np.int64)
         pending = np.ones(len(r), bool)
         while len(r):
             start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
@@ -324,88 +329,125 @@ def _meetings(words: np.ndarray, node: np.ndarray, moved: np.ndarray, spent: np.
             lead = np.minimum.reduceat(np.where(pending, np.arange(len(r)), len(r)), start)
             of = r[np.repeat(lead, size)]
             d = np.zeros(len(r), np.int64)
-            for word in words.T:
+            for word in words:
                 d += np.bitwise_count(word[r] ^ word[of])
-            near = np.flatnonzero((d <= far) & (node[r] != node[of]))
+            near = (d <= far) & (r != of)
+            for mask in apart:
+                near &= (fps[r] ^ fps[of]) & mask != 0
             yield r[near], of[near], d[near]
-            pending &= d > tight
+            pending &= ~(near & (d <= tight))
             pending[lead] = False
             more = np.repeat(np.add.reduceat(pending, start, dtype=np.int64) > 0, size)
             bucket, r, pending = bucket[more], r[more], pending[more]
 
 
-def _met(nodes: DataFrame, columns: list[str], parts: Callable[[np.ndarray, int], list[np.ndarray]], take: Callable[..., dict[str, np.ndarray]], schema: str, far: int, tight: int) -> DataFrame:
-    """``take`` of the meetings of each prefix: every fingerprint of ``nodes`` (node, sketch) goes, with its
-    ``parts``, to each prefix that a variant of it within NEAR // 2 bits has."""
-    half = NEAR // 2
-    per = sum(math.comb(WIDE, k) for k in range(half + 1))
-    key = min(24, max(4, math.ceil(math.log2(max(1, nodes.count() * per / SLICE)) + 1)))
-    outer = _masks(range(WIDE - key, WIDE), half)
-    inner = [_masks(range(WIDE - key), k) for k in range(half + 1)]
-    shift, low = np.uint64(WIDE - key), np.uint64((1 << WIDE) - 1)
-    names = ["prefix", "node", "block", *(c.split()[0] for c in columns)]
+def _met(nodes: DataFrame, record: np.dtype, fill: Callable[[np.ndarray, np.ndarray, int], np.ndarray], take: Callable[[np.ndarray, int, int], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """``take`` of each group of fingerprints that agree in one of PARTS.
+
+    nodes: node, sketch and for each part the fingerprints that go there, as bits.
+    Two within NEAR bits agree in a part, so a fingerprint goes once for each part,
+    whatever the table's size.  What ``fill`` makes of it, a ``record``, is sent
+    as bytes, many to a row; groups are as many as SLICE asks.
+    """
+    most = max(len(b) for b in _BALLS)
+    key = min(min(map(len, PARTS)), max(3, math.ceil(math.log2(max(1, nodes.count() * most / SLICE)) + 1)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            node, goes = batch.column(0).to_numpy(), [c.to_numpy().view(np.uint32) for c in batch.columns[2:]]
             words = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
             for k in range(BLOCKS):
-                block = words[:, k // 2] >> np.uint64(WIDE * (k % 2)) & low
-                sent = [pa.array(block.astype(np.uint32).view(np.int32)), *(pa.array(w.view(np.int64)) for w in parts(words, k))]
-                for mask in outer:
-                    prefix = pa.array((((block ^ mask) >> shift) | np.uint64(k << key)).astype(np.int32))
-                    yield pa.record_batch([prefix, batch.column(0), *sent], names=names)
-
-    def close(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        prefix, ids, block, *rest = (np.concatenate(x) for x in zip(*held))
-        block = block.view(np.uint32).astype(np.uint64)
-        moved = block & np.uint64((1 << (WIDE - key)) - 1) | (prefix.astype(np.uint64) << shift)
-        words = np.stack([w.view(np.uint64) for w in rest], axis=1) if len(rest) > 1 else np.stack((block, rest[0].view(np.uint64)), axis=1)
-        near = _meetings(words, ids, moved, np.bitwise_count(moved & low ^ block), inner, far, tight)
-        return pa.record_batch({k: pa.array(v) for k, v in take(ids, moved >> np.uint64(WIDE), near).items()})
+                block = _block(words, k)
+                for p, part in enumerate(PARTS):
+                    at = np.flatnonzero(goes[p] >> np.uint32(k) & np.uint32(1))
+                    if not len(at):
+                        continue
+                    group = (block[at] >> np.uint64(part[0]) & np.uint64((1 << key) - 1)).astype(np.uint16)
+                    order = np.argsort(group, kind="stable")
+                    at, group = at[order], group[order]
+                    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+                    ends = (np.append(start, len(at)) * record.itemsize).astype(np.int32)
+                    rows = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(fill(node[at], words[at], k).tobytes())])
+                    yield pa.record_batch([pa.array(group[start].astype(np.int32) | np.int32((k * len(PARTS) + p) << key)), rows], names=["group", "rows"])
+
+    def close(group: int, held: list[bytes]) -> pa.RecordBatch:
+        k, p = divmod(group >> key, len(PARTS))
+        return pa.record_batch({c: pa.array(v) for c, v in take(np.frombuffer(b"".join(held), record), k, p).items()})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from by_prefix(batches, close)
+        last, held = -1, []
+        for batch in batches:
+            for group, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if group != last and held:
+                    yield close(last, held)
+                    held = []
+                last = group
+                held.append(rows.as_py())
+        if held:
+            yield close(last, held)
 
-    sent = nodes.select("node", "sketch").mapInArrow(send, ", ".join(["prefix int, node long, block int", *columns]))
-    return sent.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(meet, schema).distinct()
+    sent = nodes.select("node", "sketch", *_GOES).mapInArrow(send, "group int, rows binary")
+    return sent.repartition("group").sortWithinPartitions("group").mapInArrow(meet, schema)
 
 
-def _anybody(ids: np.ndarray, block: np.ndarray, near: Iterator[tuple[np.ndarray, ...]]) -> dict[str, np.ndarray]:
-    """The nodes that have a near one."""
-    met = np.zeros(len(ids), bool)
-    for a, b, _ in near:
+def _block(words: np.ndarray, k: int) -> np.ndarray:
+    """Fingerprint ``k`` of each sketch."""
+    return words[:, k // 2] >> np.uint64(WIDE * (k % 2)) & np.uint64((1 << WIDE) - 1)
+
+
+def _short(node: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
+    out = np.empty(len(node), _SHORT)
+    out["node"], out["block"], out["rest"] = node, _block(words, k), words[:, (k // 2 + 1) % words.shape[1]]
+    return out
+
+
+def _long(node: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
+    out = np.empty(len(node), _LONG)
+    out["node"], out["words"] = node, words
+    return out
+
+
+def _anybody(rows: np.ndarray, k: int, p: int) -> dict[str, np.ndarray]:
+    """The nodes that have a near one, with this fingerprint's bit for this part.
+
+    A pair counts in the first part in which it agrees; a row that has been found
+    needs no turn of its own, as every row not found takes one.
+    """
+    block = rows["block"].astype(np.uint64)
+    met = np.zeros(len(rows), bool)
+    for a, b, _ in _meetings(block, [block, rows["rest"].copy()], _BALLS[p], FAR, FAR, _PART_MASKS[:p]):
         met[a] = met[b] = True
-    return {"node": np.unique(ids[met])}
+    node = rows["node"][met]
+    bit = np.full(len(node), 1 << k, np.uint32).view(np.int32)
+    return {"node": node} | {c: bit if c == _GOES[p] else np.zeros_like(bit) for c in _GOES}
 
 
-def _closest(ids: np.ndarray, block: np.ndarray, near: Iterator[tuple[np.ndarray, ...]]) -> dict[str, np.ndarray]:
-    """The closest links, a forest for each fingerprint, so that one's links hide no other's."""
-    names, node = np.unique(ids, return_inverse=True)
-    code, node = np.unique(node.astype(np.uint64) * np.uint64(BLOCKS) + block, return_inverse=True)
+def _closest(rows: np.ndarray, k: int, p: int) -> dict[str, np.ndarray]:
+    """The closest links of the group, a forest, so that one fingerprint's links hide no other's."""
+    node, words = rows["node"], rows["words"]
     held, size = [(np.zeros(0, np.int64),) * 3], 0
-    for a, b, d in near:
-        held.append((node[a], node[b], d))
+    for a, b, d in _meetings(_block(words, k), [w.copy() for w in words.T], _BALLS[p], WHOLE_FAR, WHOLE_TIGHT, []):
+        held.append((a, b, d))
         size += len(a)
         if size > SLICE:
-            held, size = [_closest_forest(*map(np.concatenate, zip(*held)), len(code))], 0
-    a, b, _ = _closest_forest(*map(np.concatenate, zip(*held)), len(code))
-    a, b = (names[code[x] // np.uint64(BLOCKS)] for x in (a, b))
-    pairs = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b))), axis=1)
-    return {"a": pairs[0], "b": pairs[1]}
+            held, size = [_closest_forest(*map(np.concatenate, zip(*held)), len(node))], 0
+    a, b, _ = _closest_forest(*map(np.concatenate, zip(*held)), len(node))
+    return {"a": np.maximum(node[a], node[b]), "b": np.minimum(node[a], node[b])}
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """Distinct (a, b), a > b: pairs of ``nodes`` (node, sketch) to be verified.
 
-    Balls meet twice: first with 64 further bits only, to find the texts that have
-    any near one, then those alone with their whole sketches, of whose links a
-    task keeps a forest of the closest.  So few bytes are shuffled for most
-    texts, and the pairs of a group grow with its size, not with its square.
+    Balls meet twice: first with 64 further bits only, to find the fingerprints
+    that have any near one, then those alone with their whole sketches, of whose
+    links a task keeps a forest of the closest.  So few bytes are shuffled for
+    most texts, and the pairs of a group grow with its size, not with its square.
     """
-    some = _met(nodes, ["rest long"], lambda words, k: [words[:, (k // 2 + 1) % words.shape[1]]], _anybody, "node long", FAR, TIGHT)
-    left = stash(nodes.join(some, "node", "left_semi"), "met-sketches")
-    columns = [f"w{k} long" for k in range(len(_TIMES))]
-    return _met(left, columns, lambda words, k: list(words.T), _closest, "a long, b long", WHOLE_FAR, WHOLE_TIGHT)
+    everywhere = nodes.select("node", "sketch", *[F.lit(-1).alias(c) for c in _GOES])
+    some = _met(everywhere, _SHORT, _short, _anybody, "node long, " + ", ".join(f"{c} int" for c in _GOES))
+    some = some.groupBy("node").agg(*[F.bit_or(c).alias(c) for c in _GOES])
+    left = stash(nodes.join(some, "node"), "met-sketches")
+    return _met(left, _LONG, _long, _closest, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -451,9 +493,10 @@ def _linked(docs: DataFrame, text_col: str, width: int, similarity: float) -> tu
     nodes = stash(signed.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch")), "nodes")
     pairs = stash(candidates(nodes), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = by_raw.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("raw").alias("raw"))
-    # One text for each candidate; rows that repeat it are dropped before they move.
-    found = texts.join(wanted, "raw").groupBy("node").agg(F.first("text").alias("text"))
+    wanted = stash(by_raw.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("raw").alias("raw")), "wanted")
+    # One text for each candidate; other texts and rows that repeat it are dropped before they move.
+    bits, passes = sieve(wanted.select("raw"))
+    found = texts.join(bits, passes(F.col("raw")), "left_semi").join(wanted, "raw").groupBy("node").agg(F.first("text").alias("text"))
     return _verified(pairs, stash(found, "candidate-texts"), width, similarity), by_raw
 
 
@@ -478,13 +521,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stays; an empty table stays empty.  Columns are those of ``docs``, whatever
     their names.
     """
-    raw, key, rank = free_name(docs, "_raw", "_key", "_rank")
+    raw, key, rank, marks = free_name(docs, "_raw", "_key", "_rank", "_marks")
     linked, by_raw = _linked(docs, text_col, width, similarity)
     group = components(linked).withColumnRenamed("a", "node")
+    group = group.union(group.select("b", "b").distinct())
     hashed = F.xxhash64(F.col(f"`{text_col}`"))
-    own = docs.select(hashed.alias("raw"), id_or_digest(id_col, text_col).alias("id")).groupBy("raw").agg(F.min("id").alias("id"))
-    first = own.join(by_raw, "raw").groupBy("node").agg(F.min(F.struct("id", "raw")).alias("s"))
-    first = first.join(group, "node", "left").groupBy(F.coalesce("b", "node").alias("b")).agg(F.min("s").alias("s"))
-    stay = stash(first.select(F.col("s.id").alias(key), F.col("s.raw").alias(raw)), "stay")
-    kept = docs.withColumn(key, id_or_digest(id_col, text_col)).withColumn(raw, hashed).join(stay, [key, raw], "left_semi")
-    return kept.withColumn(rank, F.row_number().over(Window.partitionBy(key, raw).orderBy(raw))).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(hashed.alias("raw"), id_or_digest(id_col, text_col).alias("id")).groupBy("raw").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    first = own.join(by_raw, "raw").groupBy("node").agg(F.min(F.struct("id", "raw")).alias("s"), F.sum("n").alias("n"))
+    first = stash(first.join(group, "node", "left"), "first")
+    stay = first.groupBy(F.coalesce("b", "node").alias("b")).agg(F.min("s").alias("s"))
+    stay = stash(stay.select(F.col("s.id").alias(key), F.col("s.raw").alias(raw)), "stay")
+    # A row whose text has neither copy nor link stays where it is; only the others move to be told apart.
+    bits, passes = sieve(by_raw.join(first.where("n > 1 or b is not null"), "node", "left_semi").select("raw"), marks)
+    alone = docs.join(bits, passes(hashed), "left_anti")
+    kept = docs.join(bits, passes(hashed), "left_semi").withColumn(key, id_or_digest(id_col, text_col)).withColumn(raw, hashed).join(stay, [key, raw], "left_semi")
+    kept = kept.withColumn(rank, F.row_number().over(Window.partitionBy(key, raw).orderBy(raw))).where(F.col(rank) == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return alone.select(*columns).union(kept.select(*columns))

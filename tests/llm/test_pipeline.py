@@ -131,3 +131,56 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert texts == {(t or "").strip() for _, t, *_ in rows[:count]}
         packed = pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
         assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_unlike_texts_move_little(spark):
+    """Of a text without copy or link only short records of its fingerprints are shuffled, never the text."""
+    rng = np.random.default_rng(9)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 5000, 300))) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).localCheckpoint()
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    before = shuffled()
+    assert {r.doc_id for r in pipeline.near_dedup_stage(spark, docs, SF).collect()} == set(range(1500))
+    record = pipeline.simhash._SHORT.itemsize * pipeline.simhash.BLOCKS * len(pipeline.simhash.PARTS)
+    assert shuffled() - before < 1500 * (record + 800) < 1.9 * sum(len(t) for _, t in rows)
+
+
+def test_fingerprints_meet_in_every_part():
+    """All pairs within NEAR bits of a fingerprint, and no other, meet by the parts and balls, in small slices too."""
+    s = pipeline.simhash
+    rng = np.random.default_rng(10)
+    fps = rng.integers(0, 1 << s.WIDE, 40, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(s.WIDE, n, replace=False)) for n in rng.integers(0, 4, 400)], np.uint64)
+    fps = np.concatenate((fps, np.repeat(fps, 10) ^ flips))
+    near = {(a, b) for a in range(len(fps)) for b in range(a) if int(fps[a] ^ fps[b]).bit_count() <= s.NEAR}
+    for size in (s.SLICE, 1 << 10):
+        met = set()
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(s, "SLICE", size)
+            for p, mask in enumerate(s._PART_MASKS):
+                for group in np.unique(fps & mask):
+                    at = np.flatnonzero(fps & mask == group)
+                    for a, b, d in s._meetings(fps[at], [fps[at]], s._BALLS[p], s.NEAR, -1, s._PART_MASKS[:p]):
+                        now = {(max(x, y), min(x, y)) for x, y in zip(at[a].tolist(), at[b].tolist())}
+                        met |= now
+        assert met == near
+
+
+def test_sieve_holds_back_no_hash_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    from gridwright.llm.common import sieve
+
+    ids = spark.range(5000).select(F.xxhash64("id").alias("h"), "id")
+    bits, passes = sieve(ids.where("id < 500").select("h"))
+    got = {r.id for r in ids.join(bits, passes(F.col("h")), "left_semi").collect()}
+    rest = {r.id for r in ids.join(bits, passes(F.col("h")), "left_anti").collect()}
+    assert set(range(500)) <= got and len(got) < 500 + 4500 // 5 and got | rest == set(range(5000)) and not got & rest
+    bits, passes = sieve(ids.where("id < 0").select("h"))
+    assert ids.join(bits, passes(F.col("h")), "left_semi").count() == 0
