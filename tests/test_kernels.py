@@ -148,6 +148,13 @@ def test_anchors_of_odd_pages():
     assert html.set_anchors("<p>a</p>") == '<p id="tag0">a</p>'
 
 
+def test_elements_keep_references_without_semicolon():
+    texts = [e["text"] for e in html.elements_of("<title>a&amp;&amp</title><p>&copy; &copy &am x&ampy; &#65;&#66 &</p>")]
+    assert texts == ["a&&amp", "\u00a9 &copy &am x&ampy; A&#66 &"]
+    assert html.elements_of(None) == [] and html.set_anchors("<p>a &amp b</p>") == '<p id="tag0">a &amp b</p>'
+    assert html.parse("<table><tr><td>a&ampb</table>").tables[0].grid() == [["a&b"]]  # cells as browsers read them
+
+
 def test_random_html_parses_back(spark):
     """Whatever is drawn, the values of a table are found in it again."""
     grids = spark.createDataFrame([(f"t{k}", [["h", "Total"], ["a & b", "1,000"], ["Net", "x\ny"]]) for k in range(60)], "doc_id string, grid array<array<string>>")
