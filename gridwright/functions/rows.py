@@ -81,6 +81,8 @@ def shift_enumerator(row: Column) -> Column:
 
 #: Stands where a sweep has joined two cells by a lone dash; no text of a document holds it.
 JOINED = "\0"
+#: What some rule of a sweep needs in a cell, anywhere in a text of cells by lines.
+SWEPT = r"(?m)[$)%(,–]|\.0$"
 
 
 def sweep(row: Column, mark: bool = False) -> Column:
@@ -88,6 +90,8 @@ def sweep(row: Column, mark: bool = False) -> Column:
 
     Dash ranges that reach upward need the rows above (see operators.clean);
     ``mark`` leaves JOINED in the cells that took in a dash and what follows it.
+    Cells in which no rule can find what it needs are passed over, rows of
+    nothing else stay as they are.
     """
     none = F.array().cast("array<string>")
 
@@ -112,9 +116,11 @@ def sweep(row: Column, mark: bool = False) -> Column:
             cell = F.when(note, "").when(enum, F.concat(x["cell"], F.lit(" "), F.coalesce(F.get(x["tail"], F.lit(0)), F.lit("")))).otherwise(x["cell"])
             return _with(acc, c, left, cell, F.when(enum, F.concat(_rest(x["tail"]), F.array(F.lit("")))).otherwise(F.coalesce(x["tail"], none)))
 
-        return let(let(C.strip_dollar(at(acc, c)), dashed), noted)
+        return F.when(at(acc, c).rlike(SWEPT), let(let(C.strip_dollar(at(acc, c)), dashed), noted)).otherwise(acc)
 
-    return _fold(row, step)
+    # A null, which a sweep makes empty, reads as a cell to sweep.
+    filled = F.when(F.size(row) > 1, F.transform(row, lambda v: F.coalesce(v, F.lit("")))).otherwise(row)
+    return F.when(F.array_join(row, "\n", "$").rlike(SWEPT), _fold(filled, step)).otherwise(row)
 
 
 def left_compact(row: Column, offset: Column) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,46 +70,38 @@ def title_rows(grid: Column) -> Column:
 def sweep_rows(grids: DataFrame, grid_col: str = "grid") -> DataFrame:
     """Grids with all rows swept, and dash ranges carried on to the rows above.
 
-    The sweep itself is a column expression and marks the cells it joins by a
-    lone dash.  Only grids with a mark go through Python, one grid at a time, for
-    the one rule that writes to other rows; the others pass by.
+    Each row is swept once, which marks the cells it joins by a lone dash; only
+    grids with such a mark look at their other rows.
     """
     g = F.col(grid_col)
-    kept = [c for c in grids.columns]
     df = settle(grids, _last=F.coalesce(F.try_element_at(g, F.lit(-1)), F.array().cast("array<string>")), **{grid_col: F.transform(g, lambda r: R.sweep(r, mark=True))})
-    df = df.withColumn("_dash", F.coalesce(F.exists(g, lambda r: F.exists(r, lambda v: v.contains(R.JOINED))), F.lit(False)))
-    place, last = df.columns.index(grid_col), df.columns.index("_last")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [carry_upward(*x) for x in zip(batch.column(place).to_pylist(), batch.column(last).to_pylist())]
-            cols = [pa.array(out, batch.schema.field(k).type) if k == place else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+    marked = F.exists(g, lambda r: F.exists(r, lambda v: v.contains(R.JOINED)))
+    return settle(df, **{grid_col: F.when(marked, carry_upward(g, F.col("_last"))).otherwise(g)}).select(*[F.col(f"`{c}`") for c in grids.columns])
 
-    moved = df.where("_dash").mapInArrow(run, df.schema)
-    return df.where("not _dash").union(moved).select(*[F.col(f"`{c}`") for c in kept])
 
-
-def carry_upward(grid: list[list[str]], raw_last: list[str]) -> list[list[str]]:
+def carry_upward(grid: Column, raw_last: Column) -> Column:
     """Where a row's cells were joined by a dash below a gap, the rows above join theirs too, up to row 1.
 
     A range starts two columns or more to the right of the last one.  The first
     row looks at the last one, as it came, for its gap, and has no row above.
     """
-    right = 1
-    for r, line in enumerate(grid):
-        for place in [k for k, v in enumerate(line) if R.JOINED in v]:
-            line[place] = line[place].replace(R.JOINED, "")
-            gap = place + 1
-            if (grid[r - 1] if r else raw_last)[gap] or right >= gap - 1:
-                continue
-            right = gap
-            for above in reversed(grid[1:r]):
-                if above[gap] or not above[gap + 1]:
-                    break
-                above[place] = f"{above[place]}- {above[gap + 1]}"
-                above[gap : gap + 2] = ["", ""]
-    return grid
+    bare = F.transform(grid, lambda line: F.transform(line, lambda v: F.replace(v, F.lit(R.JOINED), F.lit(""))))
+    gaps = lambda line: F.filter(upto(F.size(line), 1), lambda j: at(line, j - 1).contains(R.JOINED))
+    marks = F.flatten(F.transform(grid, lambda line, r: F.transform(gaps(line), lambda j: F.struct(r.alias("row"), j.alias("gap")))))
+
+    def carry(acc: Column, mark: Column) -> Column:
+        rows, row, gap = acc["grid"], mark["row"], mark["gap"]
+
+        def join(line: Column, i: Column, top: Column) -> Column:
+            cells = F.transform(line, lambda v, j: F.when(j == gap - 1, F.concat(v, F.lit("- "), at(line, gap + 1))).when(j.between(gap, gap + 1), "").otherwise(v))
+            return F.when((i > top) & (i < row), cells).otherwise(line)
+
+        stops = F.filter(upto(row, 1), lambda i: (at(F.get(rows, i), gap) != "") | (at(F.get(rows, i), gap + 1) == ""))
+        joined = let(F.coalesce(F.array_max(stops), F.lit(0)), lambda top: F.transform(rows, lambda line, i: join(line, i, top)))
+        before = F.when(row > 0, F.get(rows, row - 1)).otherwise(raw_last)
+        return F.when((at(before, gap) == "") & (acc["right"] < gap - 1), F.struct(joined.alias("grid"), gap.alias("right"))).otherwise(acc)
+
+    return F.aggregate(marks, F.struct(bare.alias("grid"), F.lit(1).alias("right")), carry, lambda acc: acc["grid"])
 
 
 def clean_filing(grids: DataFrame, grid_col: str = "grid") -> DataFrame:

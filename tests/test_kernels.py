@@ -57,6 +57,20 @@ def test_dash_in_the_first_row(spark):
     assert swept(spark, grid) == [["", "", "x - y", "", ""], ["h", "", "", "", ""], ["a", "", "1", "", "2"]]
 
 
+def test_sweep_is_made_once_and_stays_in_the_engine(spark):
+    df = spark.createDataFrame([([["h"], ["a", "", "1"], ["b", "", "3", "–", "4"]],)], "grid array<array<string>>")
+    made = clean.sweep_rows(df)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Union" not in plan
+    assert made.first().grid == [["h"], ["a", "", "1"], ["b", "", "3 - 4", "", ""]]  # short rows above end the range
+
+
+def test_sweep_passes_over_cells_without_signs(spark):
+    row = spark.range(1).select(R.sweep(F.array(*[F.lit(x) for x in ("x", "a b", None, "5.0", "", "1,000")])).alias("r")).first().r
+    assert row == ["x", "a b", "", "5", "", "1000"]
+    assert spark.range(1).select(R.sweep(F.array(F.lit("($"), F.lit("plain"))).alias("r")).first().r == ["($", "plain"]
+
+
 def test_spans_as_long_as_the_table():
     rows = "".join(f"<tr><td>{k}</td></tr>" for k in range(1200))
     grid = html.parse(f"<table><tr><td rowspan=70000>x</td><td>y</td></tr>{rows}</table>").tables[0].grid()
