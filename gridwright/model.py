@@ -71,3 +71,13 @@ def settle(df: DataFrame, **values: Column) -> DataFrame:
     keep = [F.col(f"`{c}`") for c in df.columns if c not in values]
     made = df.select(*keep, F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias("_settled"))
     return made.select(*[F.col("_settled").getField(c).alias(c) if c in values else F.col(f"`{c}`") for c in df.columns], *[F.col("_settled").getField(c).alias(c) for c in values if c not in df.columns])
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by its keys in many parts, four a core at least.
+
+    Where a row takes far more time or memory than its bytes show, parts by
+    bytes, as files and adaptive plans make them, are few and heavy.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)

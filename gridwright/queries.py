@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import cells as C
 from .functions import rows as R
-from .model import from_cells, to_cells
+from .model import from_cells, spread, to_cells
 from .operators import clean, edits, generate, prep, render, score, sections, style
 from .plans import api
 from .sources import files, html
@@ -274,7 +274,8 @@ def sweep_without_dash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def swept(spark: SparkSession, sf_dir: str, *rows: Column) -> DataFrame:
-    up = clean.sweep_rows(table(spark, sf_dir, "part").select("p_partkey", F.array(*rows).alias("grid")))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
+    up = clean.sweep_rows(parts.select("p_partkey", F.array(*rows).alias("grid")))
     return up.select("p_partkey", render.csv_text(F.col("grid")).alias("csv"))
 
 

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gridwright import queries
 from gridwright.functions import rows as R
 from gridwright.operators import clean, generate, score
 from gridwright.sources import files, html
@@ -71,6 +72,14 @@ def test_sweep_passes_over_cells_without_signs(spark):
     assert spark.range(1).select(R.sweep(F.array(F.lit("($"), F.lit("plain"))).alias("r")).first().r == ["($", "plain"]
 
 
+def test_grids_of_a_small_file_are_spread(spark, tmp_path):
+    """A few rows stand for a large table, which may lie in one row group all the same."""
+    spark.range(8).selectExpr("id as p_partkey", "'b' as p_brand").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("dash_merge_up", "dash_two_ranges"):
+        made = queries.QUERIES[name](spark, str(tmp_path))
+        assert made.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and made.count() == 8
+
+
 def test_spans_as_long_as_the_table():
     rows = "".join(f"<tr><td>{k}</td></tr>" for k in range(1200))
     grid = html.parse(f"<table><tr><td rowspan=70000>x</td><td>y</td></tr>{rows}</table>").tables[0].grid()
