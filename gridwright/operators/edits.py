@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
-from ..model import GRID, at, upto
+from ..model import GRID, at, spread, upto
 
 STRINGS = "array<string>"
 STATE = ("header", "grid", "applied", "skipped", "mismatched")
@@ -111,15 +111,16 @@ def _step(acc: Column, e: Column) -> Column:
 def replay(targets: DataFrame, edits: DataFrame, name_col: str = "fileName") -> DataFrame:
     """``targets`` (name, header, grid) after their instructions, with applied, skipped and mismatched counts.
 
-    One shuffle by file name; each target folds its own instructions log by log
+    One shuffle by file name, into many parts so that a task sorts few files at a
+    time; each target folds its own instructions log by log
     (where ``edits`` has a log) and in order of seq.  An edit is applied even if
     the cell doesn't hold the old value it names; such are counted as mismatched.
     Instructions without a file name are left out; targets without any stay as
     they are.
     """
     order = F.struct(*(["log"] if "log" in edits.columns else []), "seq", "action", "details")
-    steps = edits.where(F.col(name_col).isNotNull()).groupBy(name_col).agg(F.array_sort(F.collect_list(order)).alias("_edits"))
-    df = targets.join(steps, name_col, "left")
+    steps = spread(edits.where(F.col(name_col).isNotNull()), name_col).groupBy(name_col).agg(F.array_sort(F.collect_list(order)).alias("_edits"))
+    df = spread(targets, name_col).join(steps, name_col, "left")
     width = F.size("header")
     filled = F.transform("grid", lambda r: F.transform(upto(width), lambda j: at(r, j)))
     start = F.struct(F.col("header"), filled.alias("grid"), F.lit(0).alias("applied"), F.lit(0).alias("skipped"), F.lit(0).alias("mismatched"))

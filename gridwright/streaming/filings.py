@@ -41,6 +41,7 @@ def replay_stream(targets: DataFrame, edit_stream: DataFrame, sink: str, checkpo
             last = done.where(F.col("epoch") < epoch).join(names, "fileName", "left_semi").groupBy("fileName").agg(F.max_by(state, "epoch").alias("s"))
             last = last.select("fileName", *[F.col("s").getField(c).alias(c) for c in targets.columns if c != "fileName"]).select(*targets.columns)
             touched = last.union(touched.join(last, "fileName", "left_anti").select(*targets.columns))
-        edits.replay(touched, batch).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        # Replay leaves many parts; a batch's files are by size.
+        edits.replay(touched, batch).hint("rebalance").write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
     return edit_stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

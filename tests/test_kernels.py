@@ -80,6 +80,13 @@ def test_grids_of_a_small_file_are_spread(spark, tmp_path):
         assert made.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and made.count() == 8
 
 
+def test_replay_sorts_few_files_a_task(spark, tmp_path):
+    spark.range(8).selectExpr("id as c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    for name in ("edit_replay", "edit_mismatch"):
+        made = queries.QUERIES[name](spark, str(tmp_path))
+        assert made.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and made.count() == 8
+
+
 def test_spans_as_long_as_the_table():
     rows = "".join(f"<tr><td>{k}</td></tr>" for k in range(1200))
     grid = html.parse(f"<table><tr><td rowspan=70000>x</td><td>y</td></tr>{rows}</table>").tables[0].grid()
